@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, neighbours, pieces, repeated_lines, splits
+from plumbline.llm import bpe, mixing, neighbours, pieces, repeated_lines, scan_noise, splits
 from plumbline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise.scan_noise(table(spark, sf, "chunks"))
+
+
+def p1_text(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise.readable_text(table(spark, sf, "chunks"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.tied_questions(table(spark, sf, "golden_generated"))
 
