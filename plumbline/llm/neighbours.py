@@ -26,9 +26,9 @@ from pyspark.sql.window import Window
 from plumbline.session import cut_lineage
 
 SEED = 7
-PROJECTIONS = 32
-CELL_ROWS = 48  # wanted rows in a cell
-RECALL = 0.999  # wanted chance that a pair meets in some cell
+PROJECTIONS = 24
+CELL_ROWS = 128  # wanted rows in a cell
+RECALL = 0.995  # wanted chance that a pair of the least cosine meets in some cell
 HEAVY = 4096  # larger cells are split into pairs of blocks
 WIDTHS = 2.6  # window radius in standard deviations of a pair's difference
 GRID = 64.0  # projections are kept in steps of 1/GRID of a typical vector's deviation
@@ -202,11 +202,14 @@ def similar_pairs(df: DataFrame, cosine: float = 0.95, recall: float = RECALL, c
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    v = vectors.select("chunk_id", F.transform("vec", lambda x: x.cast("double")).alias("v"))
-    joined = pairs.join(v.withColumnsRenamed({"chunk_id": "a", "v": "va"}), "a").join(v.withColumnsRenamed({"chunk_id": "b", "v": "vb"}), "b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    cos = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return joined.where(cos >= cosine - 1e-9).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    """Exact cosines of the candidate pairs. The vectors are shuffled once: pairs are taken apart, met with them, and put together."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("chunk_id"))
+    met = ends.join(vectors, "chunk_id").select("a", "b", "vec")
+    both = met.groupBy("a", "b").agg(F.collect_list("vec").alias("v")).where(F.size("v") == 2)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    x, y = F.col("v")[0], F.col("v")[1]
+    cos = dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+    return both.where(cos >= cosine - 1e-9).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def _block_search(queries: np.ndarray, rows: np.ndarray, hq: np.ndarray, hr: np.ndarray, k: int, step: float) -> tuple[np.ndarray, np.ndarray]:
