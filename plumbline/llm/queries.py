@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, neighbours, pieces, repeated_lines, scan_noise, splits
+from plumbline.llm import answer_defects, bpe, mixing, neighbours, offensive, pieces, repeated_lines, scan_noise, splits
 from plumbline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return answer_defects.first_defect(table(spark, sf, "gate_scores_v3_14b"), table(spark, sf, "golden_generated"))
+
+
+def p6_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return answer_defects.all_labels(table(spark, sf, "gate_scores_v3_14b"), table(spark, sf, "golden_generated"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"))
 
@@ -78,5 +86,17 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return offensive.offensive_documents(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return offensive.score_documents(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return offensive.rates_by_source(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
