@@ -12,23 +12,25 @@ from plumbline.operators.resample import draw
 
 def shingles(tokens, n: int):
     """Runs of n tokens as strings; the whole list if it is shorter; none if it is empty."""
-    count = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    # The token list is bound to a lambda variable, so that it is made once and not once per run.
+    return F.flatten(F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<string>"))))
 
 
 def verbatim_overlaps(probes: DataFrame, sources: DataFrame, n: int = 8) -> DataFrame:
-    """(probe_id, source_id): sources that contain a run of n words of the probe.
+    """(probe_id, shared): how many of a probe's distinct runs of n words stand in some source; probes with none are left out.
 
-    Equi-join on the shingles' hashes, then on the words themselves. Both sides are
-    (id, text); only shingles that occur among the probes leave the sources' scan
-    (semi-join), and texts shorter than n words are compared whole.
+    Both sides are (id, text); texts shorter than n words are compared whole. Runs are met as a
+    set (semi-join), so a run that stands in every source costs no more than one that stands
+    in one. Null and empty texts share nothing.
     """
-    a = probes.select(F.col("id").alias("probe_id"), F.explode(F.array_distinct(shingles(ascii_tokens(F.col("text")), n))).alias("s")).withColumn("h", F.xxhash64("s"))
-    b = sources.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(shingles(ascii_tokens(F.col("text")), n))).alias("s")).withColumn("h", F.xxhash64("s"))
-    wanted = a.select("h").distinct()
-    b = b.join(wanted, "h", "left_semi")
-    return a.join(b, ["h", "s"]).select("probe_id", "source_id").distinct()
+    runs = lambda df: F.explode_outer(F.array_distinct(shingles(ascii_tokens(F.col("text")), n)))
+    a = probes.select(F.col("id").alias("probe_id"), runs(probes).alias("s"))
+    b = sources.select(runs(sources).alias("s")).where("s is not null").distinct()
+    return a.join(b, "s", "left_semi").groupBy("probe_id").agg(F.count("*").alias("shared"))
 
 
 def paraphrases(candidates: DataFrame, pool: DataFrame, least: float = 0.85) -> DataFrame:

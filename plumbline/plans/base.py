@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import word_tokens
-from plumbline.session import table
+from plumbline.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +41,7 @@ SQL_ASKED = r"asked AS (SELECT id AS qid, min(question) AS question FROM golden_
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").where("text is not null").select("id", "doc", "page", "text")
+    return spread(table(spark, sf, "chunks").where("text is not null").select("id", "doc", "page", "text"))
 
 
 SQL_CORPUS = "corpus AS (SELECT id, doc, page, text FROM chunks WHERE text IS NOT NULL)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import leakage, resample, scores, store
-from plumbline.plans.base import query
+from plumbline.plans.base import corpus, query
 from plumbline.session import table
 
 #: Short texts that take every branch of guards and parsers.
@@ -28,10 +28,10 @@ SQL_TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 SQL_SHINGLE = """{n}s AS (SELECT id, unnest(CASE WHEN len(tok) = 0 THEN [] WHEN len(tok) < 8 THEN [array_to_string(tok, ' ')] ELSE list_transform(range(1, len(tok) - 6), lambda i: array_to_string(tok[i:i + 7], ' ')) END) AS s FROM (SELECT id, """ + SQL_TOK.format("{t}") + """ AS tok FROM {f}))"""
 
 
-@query("WITH probes AS (SELECT id, min(note) AS text FROM golden_generated WHERE note IS NOT NULL GROUP BY id), " + SQL_SHINGLE.format(n="probe_", t="text", f="probes") + ", " + SQL_SHINGLE.format(n="source_", t="text", f="chunks WHERE text IS NOT NULL") + " SELECT DISTINCT a.id AS probe_id, b.id AS source_id FROM probe_s a JOIN source_s b ON a.s = b.s")
+@query("WITH probes AS (SELECT id, min(note) AS text FROM golden_generated WHERE note IS NOT NULL GROUP BY id), " + SQL_SHINGLE.format(n="probe_", t="text", f="probes") + ", " + SQL_SHINGLE.format(n="source_", t="text", f="chunks WHERE text IS NOT NULL") + " SELECT a.id AS probe_id, count(*) AS shared FROM (SELECT DISTINCT id, s FROM probe_s) a SEMI JOIN source_s b ON a.s = b.s GROUP BY a.id")
 def verbatim_8gram(spark, sf):
     probes = table(spark, sf, "golden_generated").where("note is not null").groupBy("id").agg(F.min("note").alias("text"))
-    return leakage.verbatim_overlaps(probes, table(spark, sf, "chunks").where("text is not null").select("id", "text"))
+    return leakage.verbatim_overlaps(probes, corpus(spark, sf).select("id", "text"))
 
 
 @query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 <> 0), p AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0)

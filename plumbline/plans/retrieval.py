@@ -12,19 +12,10 @@ from plumbline.session import table
 WITH_BM25 = "WITH " + ",\n".join([SQL_ASKED, SQL_CORPUS, SQL_TOKENS, SQL_QTERMS, SQL_BM25])
 
 
-def _post(spark, sf, only_asked: bool = True, every: int = ASK_EVERY):
-    """Postings, and lengths of all documents. Terms that no query has are cut off at the scan."""
-    c = corpus(spark, sf)
-    words = T.word_tokens(F.col("text"))
-    post = lexical.postings(c, "id", words)
-    if only_asked:
-        post = post.join(query_terms(spark, sf, every).select("term").distinct(), "term", "left_semi")
-    return post, lexical.corpus_stats(c, "id", words)
-
-
 def bm25_run(spark, sf, k: int = 100, every: int = ASK_EVERY):
-    post, lengths = _post(spark, sf, every=every)
-    return lexical.search(query_terms(spark, sf, every), lexical.term_weights(post, lengths), k)
+    c, words, q = corpus(spark, sf), T.word_tokens(F.col("text")), query_terms(spark, sf, every)
+    weights = lexical.term_weights(lexical.postings(c, "id", words, only=q), lexical.corpus_totals(c, words))
+    return lexical.search(q, weights, k)
 
 
 def dense_run(spark, sf, k: int = 100):
@@ -34,8 +25,8 @@ def dense_run(spark, sf, k: int = 100):
 
 @query("WITH " + ",\n".join([SQL_CORPUS, SQL_TOKENS, SQL_BM25.split(",\nbm_scored")[0]]) + " SELECT id, term, round(w, 6) AS w FROM weights")
 def bm25_lucene_weights(spark, sf):
-    post, lengths = _post(spark, sf, only_asked=False)
-    return lexical.term_weights(post, lengths).select("id", "term", F.round("w", 6).alias("w"))
+    c, words = corpus(spark, sf), T.word_tokens(F.col("text"))
+    return lexical.term_weights(lexical.postings(c, "id", words), lexical.corpus_totals(c, words)).select("id", "term", F.round("w", 6).alias("w"))
 
 
 @query(WITH_BM25 + " SELECT qid, id, score, rank FROM bm")
@@ -65,8 +56,7 @@ def bm25_fts5_topk(spark, sf):
     words = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     c = corpus(spark, sf)
     q = asked(spark, sf).select("qid", F.explode(F.transform(T.query_tokens(F.col("question")), F.lower)).alias("term"))
-    post = lexical.postings(c, "id", words).join(q.select("term").distinct(), "term", "left_semi")
-    weights = lexical.term_weights(post, lexical.corpus_stats(c, "id", words), 1.2, 0.75, "fts")
+    weights = lexical.term_weights(lexical.postings(c, "id", words, only=q), lexical.corpus_totals(c, words), 1.2, 0.75, "fts")
     return lexical.search(q, weights, 20)
 
 

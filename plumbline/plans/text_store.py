@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import chunking, lexical, store
 from plumbline.plans.base import SQL_CORPUS, SQL_TOKENS, corpus, query
-from plumbline.session import table
+from plumbline.session import spread, table
 
 SQL_CLEAN = r"""array_to_string(list_filter(list_transform(regexp_split_to_array({t}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))),
 lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^\s*(page\s+)?\d{{1,4}}\s*$') AND NOT regexp_matches(x, '(?i)^\s*TM\s+[\d-]+[A-Z]?\s*$')), chr(10))"""
@@ -15,7 +15,7 @@ lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^\s*(page\s+)?\d{{1,4}}\s*$') A
 
 @query("SELECT id, " + SQL_CLEAN.format(t="text") + " AS cleaned FROM chunks")
 def clean_lines(spark, sf):
-    return table(spark, sf, "chunks").select("id", T.clean_page(F.col("text")).alias("cleaned"))
+    return spread(table(spark, sf, "chunks").select("id", "text")).select("id", T.clean_page(F.col("text")).alias("cleaned"))
 
 
 @query()
@@ -113,7 +113,7 @@ def pending_embeddings(spark, sf):
 
 @query("WITH " + SQL_CORPUS + ", " + SQL_TOKENS + " SELECT id, term, tf FROM post")
 def token_counts(spark, sf):
-    return lexical.postings(corpus(spark, sf), "id", T.word_tokens(F.col("text")))
+    return lexical.postings(corpus(spark, sf), "id", T.word_tokens(F.col("text"))).select("id", "term", "tf")
 
 
 @query("WITH " + SQL_CORPUS + ", " + SQL_TOKENS + " SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfs CROSS JOIN totals")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if Catalyst's own size estimate stays under this many bytes.
 BROADCAST_LIMIT = 8 << 20
+#: Only scans under this many bytes are ever spread over the cores by a shuffle.
+SPREAD_LIMIT = 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, rows: int, bytes_per_row: int = 64) -> DataFrame:
     """Broadcast hint for ``df`` if its known row count keeps it under the limit, else unchanged."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_LIMIT else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan with fewer partitions than there are cores, spread over them; others unchanged.
+
+    For plain scans before heavy work on each row. Large inputs have partitions enough, so
+    nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores or estimated_bytes(df) > SPREAD_LIMIT:
+        return df
+    return df.repartition(cores)
