@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -202,7 +204,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = pa.array(bpe.encode_batch(texts[part]), type=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), ids], ["id", "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:

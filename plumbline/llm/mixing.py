@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.bpe import DEFAULT_VOCAB, count_tokens
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread
 
 SEED = 20240
 RANGES = 1024
@@ -20,7 +20,7 @@ RANGES = 1024
 
 def _sized(documents: DataFrame, targets: DataFrame, vocab_path: str) -> DataFrame:
     wanted = targets.where("source is not null").select("source").distinct()
-    docs = documents.where("doc_id is not null").select("doc_id", "source", "text").join(F.broadcast(wanted), "source")
+    docs = spread(documents.where("doc_id is not null and source is not null").select("doc_id", "source", "text")).join(F.broadcast(wanted), "source")
     return count_tokens(docs, ["doc_id", "source"], vocab_path=vocab_path)
 
 

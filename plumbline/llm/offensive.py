@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 LABELLED = 20_000  # at most so many labelled documents fit the classifier, by hash order
 LABEL_CHARS = 20_000  # of each of them; scoring reads whole texts
 DICT_BYTES = 200_000
@@ -307,7 +309,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, keep: tuple[str, ..
             score = np.array([own.score(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array(score > own.threshold)], [*keep, "score", "flagged"])
 
-    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return spread(documents.select(*keep, F.col("text").alias("__text"))).mapInArrow(run, schema)
 
 
 def offensive_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import answer_defects, bpe, mixing, neighbours, offensive, pieces, repeated_lines, scan_noise, splits
-from plumbline.session import table
+from plumbline.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +74,7 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_token_totals(spark: SparkSession, sf: str) -> DataFrame:
-    sized = bpe.count_tokens(table(spark, sf, "documents"), ["source"])
+    sized = bpe.count_tokens(spread(table(spark, sf, "documents").select("source", "text")), ["source"])
     return sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
 
 

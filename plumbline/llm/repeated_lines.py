@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 MIN_LETTERS = 12
 MIN_ROWS = 6
 MIN_SHARE = 0.03
@@ -45,7 +47,7 @@ def hot_leaves(df: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_S
     third of all rows is no hot key: the shuffle is on (doc, leaf).
     """
     leaves = F.array_distinct(F.transform(F.filter(_letters(F.col("text")), lambda k: F.length(k) >= MIN_LETTERS), _leaf))
-    counted = df.where("text is not null and doc is not null").select("doc", F.explode(leaves).alias("leaf")).groupBy("doc", "leaf").agg(F.count("*").alias("leaf_rows"))
+    counted = spread(df.where("text is not null and doc is not null").select("doc", "text")).select("doc", F.explode(leaves).alias("leaf")).groupBy("doc", "leaf").agg(F.count("*").alias("leaf_rows"))
     counted = counted.where(F.col("leaf_rows") >= min_rows)
     docs = _rows_per_doc(df)
     return counted.join(docs, "doc").where(_enough(F.col("leaf_rows"), F.col("doc_rows"), min_rows, min_share)).select("doc", "leaf", "leaf_rows", "doc_rows")
@@ -59,7 +61,7 @@ def _candidate_lines(df: DataFrame, hot: DataFrame) -> DataFrame:
     never leave the scan.
     """
     per_doc = hot.groupBy("doc").agg(F.collect_list("leaf").alias("hot"), F.first("doc_rows").alias("doc_rows"))
-    salted = df.where("text is not null").select("id", "doc", "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = spread(df.where("text is not null").select("id", "doc", "text")).select("id", "doc", "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     per_doc = per_doc.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = F.transform(_letters(F.col("text")), lambda k, i: F.struct(i.alias("line_no"), k.alias("key"), _leaf(k).alias("leaf")))
     keys = F.filter(keys, lambda x: (F.length(x["key"]) >= MIN_LETTERS) & F.array_contains(F.col("hot"), x["leaf"]))
