@@ -77,7 +77,7 @@ def _leet(m: re.Match) -> str:
     letters = sum(ch.isalpha() for ch in w)
     if w[-1] == "!":
         return _MIXED.sub(_leet, w.rstrip("!")) + w[len(w.rstrip("!")) :]
-    return w.translate(LEET) if letters >= 2 and letters * 2 >= len(w) and not re.fullmatch(r"[a-z]{1,2}\d+|\d+[a-z]{1,2}(?:\d+)?", w) else w
+    return w.translate(LEET) if letters >= 2 and letters * 2 >= len(w) - 1 and not re.fullmatch(r"[a-z]{1,2}\d+|\d+[a-z]{1,2}(?:\d+)?", w) else w
 
 
 def normalise(text: str) -> str:
@@ -264,7 +264,7 @@ def fit(docs: list[tuple[str, int]]) -> Model:
     return Model(*_dictionaries(cut), threshold=calibrate(scores, labels))
 
 
-DEFAULT_THRESHOLD = 0.12
+DEFAULT_THRESHOLD = 0.2
 
 
 def calibrate(scores: list[float], labels: list[int]) -> float:
