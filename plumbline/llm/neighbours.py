@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from plumbline.session import cut_lineage
 
 SEED = 7
-PROJECTIONS = 24
-CELL_ROWS = 128  # wanted rows in a cell
+PROJECTIONS = 16
+CELL_ROWS = 256  # wanted rows in a cell
 RECALL = 0.995  # wanted chance that a pair of the least cosine meets in some cell
 HEAVY = 4096  # larger cells are split into pairs of blocks
 WIDTHS = 2.6  # window radius in standard deviations of a pair's difference
@@ -137,9 +137,15 @@ def _pairs_in_cells(cells: DataFrame, window: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-            ids, block = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.int8).reshape(-1, PROJECTIONS).astype(np.int16)
+            if not batch.num_rows:
+                continue
+            cell, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if batch.num_columns > 3:
+                block, left, right = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            else:  # no cell is split
+                block = left = right = np.zeros(len(ids), dtype=np.int64)
+            key = np.stack([cell, left, right], axis=1)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int8).reshape(-1, PROJECTIONS).astype(np.int16)
             if held is not None:
                 key, ids, block, sig = (np.concatenate(x) for x in zip(held, (key, ids, block, sig)))
             ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -159,7 +165,8 @@ def _pairs_in_cells(cells: DataFrame, window: int, least: int) -> DataFrame:
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    ordered = cells.select("cell", "lo", "hi", "id", "block", "sig").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    by = [c for c in ("cell", "lo", "hi") if c in cells.columns]
+    ordered = cells.select("cell", "id", "sig", *[c for c in ("block", "lo", "hi") if c in cells.columns]).repartition(*by).sortWithinPartitions(*by)
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -168,8 +175,7 @@ def _with_blocks(cells: DataFrame) -> DataFrame:
     heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
     heavy = heavy.select("cell", F.ceil(F.col("n") / HEAVY).cast("bigint").alias("parts"))
     if heavy.isEmpty():
-        one = F.lit(0).cast("bigint")
-        return cells.select("cell", "id", "sig", one.alias("block"), one.alias("lo"), one.alias("hi"))
+        return cells
     marked = cells.join(heavy, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     marked = marked.withColumn("block", F.pmod(F.xxhash64("id", "cell"), F.col("parts")))
     meet = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))
