@@ -60,7 +60,7 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
     """n unit directions in columns, orthogonal in groups of ``dim``."""
     rng = np.random.default_rng(seed)
-    blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-n // dim))]
+    blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(max(1, -(-n // dim)))]
     return np.concatenate(blocks, axis=1)[:, :n].astype(np.float32)
 
 
