@@ -88,7 +88,7 @@ def _cells(vectors: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, rows = batch.column(0), unit_rows(batch.column(1), dim)
-            side = (rows @ signs > 0).reshape(-1, tables, bits)
+            side = (rows @ signs > 0).reshape(len(rows), tables, bits)
             cell = side @ weights + (np.arange(tables, dtype=np.int64) << bits)
             grid = np.clip(np.rint(rows @ lines * scale), -127, 127).astype(np.int8)
             sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROJECTIONS), len(grid), [None, pa.py_buffer(grid.tobytes())]).cast(pa.binary())
