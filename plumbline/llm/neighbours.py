@@ -7,9 +7,9 @@ other; only pairs with enough collisions are verified with their exact cosine.
 * ``similar_pairs`` (all pairs from a cosine up): windows have one radius, which follows from
   the cosine. To keep the work below all pairs, rows meet only in cells formed by the signs of
   a few further projections, over several tables whose number follows from the wanted recall.
-* ``nearest`` (k nearest of given queries): each partition keeps its rows' projections as sorted
-  arrays; windows centred on the query grow by a constant factor (virtual rehashing)
-  until k verified vectors lie within what the radius covers.
+* ``nearest`` (k nearest of given queries): a batch of rows has its projections as sorted arrays;
+  windows centred on the query have the radius that its kth best so far asks for (virtual
+  rehashing), and only rows over the collision threshold are verified.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ from plumbline.session import cut_lineage
 SEED = 7
 PROJECTIONS = 24
 CELL_ROWS = 256  # wanted rows in a cell
-RECALL = 0.995  # wanted chance that a pair of the least cosine meets in some cell
+RECALL = 0.99  # wanted chance that a pair of the least cosine meets in some cell
 HEAVY = 4096  # larger cells are split into pairs of blocks
 WIDTHS = 2.6  # window radius in standard deviations of a pair's difference
 GRID = 64.0  # projections are kept in steps of 1/GRID of a typical vector's deviation
 QUERY_BLOCK = 2048
+NARROW = 0.5  # windows below this share of the spread of differences are worth counting
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -218,44 +219,56 @@ def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     return both.where(cos >= cosine - 1e-9).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
-def _block_search(queries: np.ndarray, rows: np.ndarray, hq: np.ndarray, hr: np.ndarray, k: int, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Top k rows of every query by virtual rehashing over sorted projections.
+class Search:
+    """Top k of a block of queries over batches of rows, by collision counting with virtual rehashing.
 
-    A row is verified once it collides on ``least`` of the projections within the radius; a
-    query is done when its kth best lies within the distance that the radius covers, which
-    grows by half each round. Gives (row index, cosine), filled up with -1.
+    The radius of a query's windows follows from its kth best so far: it starts without bound and
+    shrinks from batch to batch. Where windows are narrow against the spread of the projections,
+    a batch's rows are looked up in sorted arrays, one per projection, and only those
+    colliding on all but a few projections are verified; where windows take in most rows
+    anyway, the whole batch is verified by one matrix product.
     """
-    m, n = hr.shape[1], len(rows)
-    k = min(k, n)
-    order = np.argsort(hr, axis=0, kind="stable")
-    ranked = np.take_along_axis(hr, order, axis=0)
-    best = np.full((len(queries), k), -1, dtype=np.int64)
-    score = np.full((len(queries), k), -2.0, dtype=np.float32)
-    least = m - 4
-    for q in range(len(queries)):
-        radius, checked = step, np.zeros(n, dtype=bool)
-        count = np.zeros(n, dtype=np.int16)
-        lo = np.array([np.searchsorted(ranked[:, p], hq[q, p]) for p in range(m)])
-        hi = lo.copy()
-        while True:
-            for p in range(m):  # the windows only grow, so each row is counted once a projection
-                a = np.searchsorted(ranked[:, p], hq[q, p] - radius, "left")
-                b = np.searchsorted(ranked[:, p], hq[q, p] + radius, "right")
-                count[order[a : lo[p], p]] += 1
-                count[order[hi[p] : b, p]] += 1
-                lo[p], hi[p] = min(a, lo[p]), max(b, hi[p])
-            new = np.flatnonzero((count >= least) & ~checked)
-            if len(new):
-                checked[new] = True
-                sims = rows[new] @ queries[q]
-                ids, val = np.r_[best[q], new], np.r_[score[q], sims]
-                top = np.lexsort((ids, -val))[:k]
-                best[q], score[q] = ids[top], val[top]
-            reach = radius * math.sqrt(rows.shape[1]) / 2.0  # a pair this far apart collides nearly everywhere
-            if checked.all() or (best[q, -1] >= 0 and 2 - 2 * score[q, -1] <= reach * reach):
-                break
-            radius *= 1.5
-    return best, score
+
+    def __init__(self, queries: np.ndarray, lines: np.ndarray, k: int):
+        self.q, self.lines, self.hq = queries, lines, queries @ lines
+        self.ids = np.full((len(queries), k), -1, dtype=np.int64)
+        self.score = np.full((len(queries), k), -2.0, dtype=np.float32)
+        miss = math.erfc(WIDTHS / math.sqrt(2)) * lines.shape[1]
+        self.least = lines.shape[1] - math.ceil(miss + 4 * math.sqrt(miss))
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        h = rows @ self.lines
+        radius = WIDTHS * np.sqrt(np.maximum(0, 2 - 2 * self.score[:, -1])) / math.sqrt(rows.shape[1])
+        narrow = radius < NARROW * math.sqrt(2) * float(h.std(axis=0).mean())
+        wide = np.flatnonzero(~narrow)
+        for lo in range(0, len(wide), 256):
+            part = wide[lo : lo + 256]
+            self._merge(part, np.broadcast_to(ids, (len(part), len(ids))), self.q[part] @ rows.T)
+        if narrow.any():
+            order = np.argsort(h, axis=0, kind="stable")
+            ranked = np.take_along_axis(h, order, axis=0)
+        for i in np.flatnonzero(narrow):
+            count = np.zeros(len(rows), dtype=np.int16)
+            for p in range(h.shape[1]):
+                a = np.searchsorted(ranked[:, p], self.hq[i, p] - radius[i], "left")
+                b = np.searchsorted(ranked[:, p], self.hq[i, p] + radius[i], "right")
+                count[order[a:b, p]] += 1
+            met = np.flatnonzero(count >= self.least)
+            if len(met):
+                self._merge(np.array([i]), ids[met][None, :], (rows[met] @ self.q[i])[None, :])
+
+    def _merge(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        k = self.ids.shape[1]
+        if score.shape[1] > 4 * k:  # of equal scores at the border all stay, so that ids decide
+            border = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            keep = score >= np.maximum(border, self.score[at, -1])[:, None]
+            width = max(1, int(keep.sum(axis=1).max()))
+            top = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+            ids = np.take_along_axis(ids, top, axis=1)
+            score = np.where(np.take_along_axis(keep, top, axis=1), np.take_along_axis(score, top, axis=1), np.float32(-2))
+        ids, score = np.concatenate([self.ids[at], ids], axis=1), np.concatenate([self.score[at], score], axis=1)
+        top = np.lexsort((ids, -score), axis=1)[:, :k]
+        self.ids[at], self.score[at] = np.take_along_axis(ids, top, axis=1), np.take_along_axis(score, top, axis=1)
 
 
 def nearest(df: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -289,14 +302,12 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
             qid, q = queries.value
+            search = Search(q, lines, k + 1)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, x = batch.column(0).to_numpy(), unit_rows(batch.column(1), dim)
-                best, score = _block_search(q, x, q @ lines, x @ lines, k + 1, 0.5 / math.sqrt(dim))
-                at = (best >= 0) & (own[best] != qid[:, None])
-                i, j = np.nonzero(at)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(own[best[i, j]]), pa.array(score[i, j].astype(np.float64))], ["chunk_id", "neighbour_id", "cosine"])
+                if batch.num_rows:
+                    search.add(batch.column(0).to_numpy(), unit_rows(batch.column(1), dim))
+            i, j = np.nonzero((search.score > -1.5) & (search.ids != qid[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(search.ids[i, j]), pa.array(search.score[i, j].astype(np.float64))], ["chunk_id", "neighbour_id", "cosine"])
 
         part = vectors.select("chunk_id", "vec").mapInArrow(run, out)
         found = part if found is None else found.unionByName(part)

@@ -414,3 +414,21 @@ def test_normalise():
     assert offensive.normalise("MX123-4 and 10W40, 5 mm") == "mx# and #w# # mm"
     text = "word " * 200
     assert "".join(offensive.windows(text)).count("word") >= 200
+
+
+def test_search_counts_collisions_in_tight_clusters(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 64))
+    x = np.repeat(centres, 30, axis=0) + 0.05 * rng.standard_normal((1200, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    order, ids = rng.permutation(1200), np.arange(1200)
+    q = x[::30]
+    search = neighbours.Search(q, neighbours.directions(64, 16, 1), 10)
+    counted = []
+    merge = neighbours.Search._merge
+    monkeypatch.setattr(neighbours.Search, "_merge", lambda self, at, i, s: (counted.append(s.shape[1]), merge(self, at, i, s))[1])
+    for part in np.array_split(order, 4):
+        search.add(ids[part], x[part])
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :10]
+    hits = sum(len(set(a) & set(b)) for a, b in zip(search.ids.tolist(), want.tolist()))
+    assert hits >= 0.97 * want.size and min(counted) < 50  # narrow windows verified few rows
