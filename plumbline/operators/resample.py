@@ -16,9 +16,17 @@ def draw(seed: Column | str | int, ident: Column) -> Column:
 
 
 def ordered_position(df: DataFrame, by: list[str], seed: Column | str | int, ident: str) -> DataFrame:
-    """Adds ``pos`` (from 1) and ``n``, the rows of its set, in pseudo-random order."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("pos", F.row_number().over(w.orderBy(draw(seed, F.col(ident)), ident))).withColumn("n", F.count("*").over(w))
+    """Adds ``pos`` (from 1) and ``n``, the rows of its set, in pseudo-random order.
+
+    Rows are numbered within 256 ranges of the sort key and the ranges' counts summed up, so no
+    task sorts a whole set.
+    """
+    keyed = df.withColumn("__d", draw(seed, F.col(ident))).withColumn("__b", F.substring("__d", 1, 2))
+    whole = Window.partitionBy(*by)
+    ranges = keyed.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    ranges = ranges.withColumn("__before", F.sum("__c").over(whole.orderBy("__b")) - F.col("__c")).withColumn("n", F.sum("__c").over(whole)).drop("__c")
+    here = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__d", ident))
+    return keyed.join(ranges, [*by, "__b"]).withColumn("pos", here + F.col("__before")).drop("__d", "__b", "__before")
 
 
 def half_split(df: DataFrame, seed: int, ident: str = "id") -> DataFrame:

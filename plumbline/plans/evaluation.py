@@ -59,7 +59,7 @@ def page_ranks(spark, sf, run, slack: int = 1):
     return metrics.page_hit_ranks(hits, gold_pages(spark, sf), slack)
 
 
-@query(WITH_BM25 + ", " + SQL_RRF + ", " + SQL_GOLD + ", " + SQL_HIT.format(run="rrf", name="ranks", slack=1) + " SELECT qid, hit_rank FROM ranks")
+@query(WITH_BM25 + ", " + SQL_RRF + ", " + SQL_GOLD + ", " + SQL_HIT.format(run="rrf", name="ranks", slack=1) + " SELECT qid, hit_rank::INTEGER AS hit_rank FROM ranks")
 def page_slack_rank(spark, sf):
     return page_ranks(spark, sf, fused_run(spark, sf))
 

@@ -15,7 +15,7 @@ WITH_BM25 = "WITH " + ",\n".join([SQL_ASKED, SQL_CORPUS, SQL_TOKENS, SQL_QTERMS,
 def bm25_run(spark, sf, k: int = 100, every: int = ASK_EVERY):
     c, words, q = corpus(spark, sf), T.word_tokens(F.col("text")), query_terms(spark, sf, every)
     weights = lexical.term_weights(lexical.postings(c, "id", words, only=q), lexical.corpus_totals(c, words))
-    return lexical.search(q, weights, k)
+    return lexical.search(q, weights, k, q.count())
 
 
 def dense_run(spark, sf, k: int = 100):
@@ -29,7 +29,7 @@ def bm25_lucene_weights(spark, sf):
     return lexical.term_weights(lexical.postings(c, "id", words), lexical.corpus_totals(c, words)).select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query(WITH_BM25 + " SELECT qid, id, score, rank FROM bm")
+@query(WITH_BM25 + " SELECT qid, id, score, rank::INTEGER AS rank FROM bm")
 def bm25_lucene_topk(spark, sf):
     return bm25_run(spark, sf)
 
@@ -46,7 +46,7 @@ qtf AS (SELECT qid, term, count(*) AS qtf FROM qterms GROUP BY qid, term),
 w AS (SELECT p.id, p.term, greatest(CASE WHEN ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) END, 0)
  * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l.dl / t.avgdl)) AS w FROM post p JOIN dfs d USING (term) JOIN lens l ON l.id = p.id CROSS JOIN totals t),
 s AS (SELECT q.qid, w.id, round(sum(w.w * q.qtf), 6) AS score FROM qtf q JOIN w USING (term) GROUP BY q.qid, w.id)
-SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20"""
+SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"""
 
 
 @query(SQL_FTS)
@@ -57,10 +57,10 @@ def bm25_fts5_topk(spark, sf):
     c = corpus(spark, sf)
     q = asked(spark, sf).select("qid", F.explode(F.transform(T.query_tokens(F.col("question")), F.lower)).alias("term"))
     weights = lexical.term_weights(lexical.postings(c, "id", words, only=q), lexical.corpus_totals(c, words), 1.2, 0.75, "fts")
-    return lexical.search(q, weights, 20)
+    return lexical.search(q, weights, 20, q.count())
 
 
-@query("WITH " + SQL_DENSE + " SELECT qid, id, score, rank FROM dense WHERE rank <= 20")
+@query("WITH " + SQL_DENSE + " SELECT qid, id, score, rank::INTEGER AS rank FROM dense WHERE rank <= 20")
 def cosine_topk(spark, sf):
     """All inside the JVM: the stated query vectors, of checked size, against all vectors."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -71,13 +71,13 @@ def cosine_topk(spark, sf):
     return dense.top_k(met.select("qid", "id", F.round(dense.cosine(F.col("qvec"), F.col("vec")), 6).alias("score")), 20)
 
 
-@query("WITH " + SQL_DENSE + " SELECT qid, id, score, rank FROM dense WHERE rank <= 20")
+@query("WITH " + SQL_DENSE + " SELECT qid, id, score, rank::INTEGER AS rank FROM dense WHERE rank <= 20")
 def cosine_two_level_topk(spark, sf):
     return dense_run(spark, sf, 20)
 
 
 @query("WITH " + SQL_DENSE + """, cand AS (SELECT qid, id FROM dense WHERE id % 2 = 1)
-SELECT c.qid, c.id, s.score, row_number() OVER (PARTITION BY c.qid ORDER BY s.score DESC, c.id) AS rank FROM cand c JOIN dense_scored s ON s.qid = c.qid AND s.id = c.id QUALIFY rank <= 10""")
+SELECT c.qid, c.id, s.score, CAST(row_number() OVER (PARTITION BY c.qid ORDER BY s.score DESC, c.id) AS INTEGER) AS rank FROM cand c JOIN dense_scored s ON s.qid = c.qid AND s.id = c.id QUALIFY rank <= 10""")
 def rerank_exact(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     cand = dense_run(spark, sf).where("id % 2 = 1")
@@ -113,12 +113,12 @@ def fused_run(spark, sf, k: int | None = None, every: int = ASK_EVERY):
     return fusion.rrf(lists, k=k)
 
 
-@query(WITH_BM25 + ", " + SQL_RRF + " SELECT qid, id, score, sources, rank FROM rrf")
+@query(WITH_BM25 + ", " + SQL_RRF + " SELECT qid, id, score, sources, rank::INTEGER AS rank FROM rrf")
 def rrf_fusion(spark, sf):
     return fused_run(spark, sf)
 
 
-@query(WITH_BM25 + ", " + SQL_RRF + " SELECT r.qid, r.rank, r.id, c.doc, c.page, r.score, r.sources FROM rrf r JOIN corpus c ON c.id = r.id WHERE r.rank <= 5")
+@query(WITH_BM25 + ", " + SQL_RRF + " SELECT r.qid, r.rank::INTEGER AS rank, r.id, c.doc, c.page, r.score, r.sources FROM rrf r JOIN corpus c ON c.id = r.id WHERE r.rank <= 5")
 def hybrid_retrieve(spark, sf, every: int = ASK_EVERY):
     """Ids are fused first; only the five best per query fetch their rows."""
     top = fused_run(spark, sf, 5, every)
