@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.session import spread
 
 LABELLED = 20_000  # at most so many labelled documents fit the classifier, by hash order
-LABEL_CHARS = 20_000  # of each of them; scoring reads whole texts
+LABEL_CHARS = 20_000  # longer ones are left out of the fit; scoring reads whole texts of any length
 DICT_BYTES = 200_000
 TOXIC_BYTES = 100_000
 ALIKE = 12  # ordinary windows with the same beginning in a dictionary
@@ -251,7 +251,7 @@ def fit(docs: list[tuple[str, int]]) -> Model:
     Wrong labels at equal rates leave the best threshold where it is, so it is where the
     held-out documents agree best with their labels; among equals the middle is taken.
     """
-    cut = [(windows(t[:LABEL_CHARS]), int(y)) for t, y in docs if t]
+    cut = [(windows(t), int(y)) for t, y in docs if t]
     unique = {tuple(ws): (ws, y) for ws, y in cut}
     cut = list(unique.values())
     scores, labels = [], []
@@ -282,11 +282,11 @@ def calibrate(scores: list[float], labels: list[int]) -> float:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[tuple[str, int]]:
-    """At most ``limit`` labelled texts with the raters' majority (ties and null labels drop out), in hash order."""
+    """At most ``limit`` labelled texts with the raters' majority (ties, null labels and texts over ``LABEL_CHARS`` drop out), in hash order."""
     votes = labels.where("offensive in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("offensive").alias("mean"))
     votes = votes.where("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"))
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = documents.where("text is not null").select("doc_id", F.substring("text", 1, LABEL_CHARS).alias("text"))
+    texts = documents.where(F.length("text") <= LABEL_CHARS).select("doc_id", "text")
     rows = texts.join(votes, "doc_id").select("doc_id", "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
