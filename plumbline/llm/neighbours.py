@@ -27,8 +27,8 @@ from plumbline.session import cut_lineage
 
 SEED = 7
 PROJECTIONS = 20
-CELL_ROWS = 512  # wanted rows in a cell
-RECALL = 0.999  # wanted chance that a pair of the least cosine meets in some cell
+CELL_ROWS = 1024  # wanted rows in a cell
+RECALL = 0.998  # wanted chance that a pair of the least cosine meets in some cell
 HEAVY = 4096  # larger cells are split into pairs of blocks
 WIDTHS = 2.6  # window radius in standard deviations of a pair's difference
 GRID = 64.0  # projections are kept in steps of 1/GRID of a typical vector's deviation
