@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from plumbline.session import cut_lineage
 
 SEED = 7
-PROJECTIONS = 20
+PROJECTIONS = 24
 CELL_ROWS = 1024  # wanted rows in a cell
 RECALL = 0.998  # wanted chance that a pair of the least cosine meets in some cell
 HEAVY = 4096  # larger cells are split into pairs of blocks
