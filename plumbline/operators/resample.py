@@ -78,9 +78,7 @@ def nested_subsets(df: DataFrame, positives: DataFrame, sizes: list[int], seed:
     pos = positives.select(F.col(ident).alias("id")).distinct().join(keys, "id", "left_semi")
     counts = F.broadcast(pos.agg(F.count("*").alias("p")))  # one row
     rest = keys.join(pos, "id", "left_anti").crossJoin(counts)
-    top = max(sizes)
-    ordered = rest.orderBy(draw(seed, F.col("id")), "id").limit(top)
-    ranked = ordered.withColumn("r", F.row_number().over(Window.orderBy(draw(seed, F.col("id")), "id")))  # at most the largest size
+    ranked = ordered_position(rest, [], seed, "id").withColumnRenamed("pos", "r")
     size = F.explode(F.array(*[F.lit(s) for s in sizes]))
     others = ranked.select("id", "r", "p", size.alias("size")).where(F.col("r") <= F.col("size") - F.col("p")).select("size", "id")
     return pos.select(size.alias("size"), "id").unionByName(others)

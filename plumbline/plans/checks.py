@@ -85,6 +85,17 @@ def nested_subsets(spark, sf):
     return resample.nested_subsets(table(spark, sf, "chunks").select("id"), pos, [100, 200], 2, "id")
 
 
+@query("""WITH pos AS (SELECT DISTINCT chunk_id AS id FROM chunk_vectors WHERE chunk_id IN (SELECT id FROM chunks)), z AS (SELECT unnest([count(DISTINCT id) * 8 // 10, count(DISTINCT id) * 9 // 10]) AS size FROM chunks),
+r AS (SELECT id, row_number() OVER (ORDER BY md5('2:' || id), id) AS r FROM (SELECT DISTINCT id FROM chunks) c ANTI JOIN pos ON pos.id = c.id)
+SELECT z.size, id FROM pos CROSS JOIN z UNION ALL SELECT z.size, r.id FROM r CROSS JOIN z WHERE r.r <= z.size - (SELECT count(*) FROM pos)""")
+def nested_subsets_all(spark, sf):
+    """All chunks with a vector are positives, and the sets take 8 and 9 tenths of the corpus; ``nested_subsets`` and its SQL stop at id 40 and 200 rows."""
+    c = table(spark, sf, "chunks").select("id")
+    n = c.agg(F.count_distinct("id")).first()[0]
+    pos = table(spark, sf, "chunk_vectors").select(F.col("chunk_id").alias("id"))
+    return resample.nested_subsets(c, pos, [n * 8 // 10, n * 9 // 10], 2, "id")
+
+
 @query("SELECT id FROM chunks ORDER BY md5('1:' || id), id LIMIT 100")
 def fixed_sample(spark, sf):
     """A sampling operator: the same rows every time."""

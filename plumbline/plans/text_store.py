@@ -49,6 +49,13 @@ def high_water_mark(spark, sf):
     return store.above_mark(table(spark, sf, "chunks").select("id", "doc", "ordinal"), done)
 
 
+@query("SELECT c.id, c.doc, c.ordinal FROM chunks c WHERE c.id > (SELECT coalesce(max(chunk_id), 0) FROM chunk_vectors)")
+def high_water_mark_all(spark, sf):
+    """The mark over all vectors, whereas ``high_water_mark`` and its SQL look at ids up to 1000 only."""
+    done = table(spark, sf, "chunk_vectors").select(F.col("chunk_id").alias("id"))
+    return store.above_mark(table(spark, sf, "chunks").select("id", "doc", "ordinal"), done)
+
+
 @query("""SELECT chunk_id, dim, CASE WHEN vec IS NULL THEN -1 ELSE len(vec) END AS size, written_at FROM chunk_vectors
 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY written_at DESC NULLS LAST, CASE WHEN vec IS NULL THEN -1 ELSE len(vec) END DESC) = 1""")
 def upsert_embeddings(spark, sf):

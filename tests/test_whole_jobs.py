@@ -34,3 +34,24 @@ def test_rerank_keeps_all_candidates(spark, vectors):
         got.setdefault(r["qid"], []).append(r["id"])
     assert got == brute_force(x, 10)
     assert any(i % 2 == 0 for ids in got.values() for i in ids[1:])
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    """3,000 chunks; those with an id up to 2,900 that is not divisible by 3 have a vector."""
+    at = str(tmp_path_factory.mktemp("store"))
+    spark.range(1, 3001).selectExpr("id", "'a' doc", "cast(id as int) ordinal").write.parquet(f"{at}/chunks.parquet")
+    spark.range(1, 2901).where("id % 3 <> 0").selectExpr("id chunk_id").write.parquet(f"{at}/chunk_vectors.parquet")
+    return at
+
+
+def test_mark_over_all_vectors(spark, store):
+    assert sorted(r["id"] for r in registry.queries()["high_water_mark_all"](spark, store).collect()) == list(range(2900 + 1, 3001))
+
+
+def test_subsets_hold_all_positives(spark, store):
+    sets = {}
+    for r in registry.queries()["nested_subsets_all"](spark, store).collect():
+        sets.setdefault(r["size"], set()).add(r["id"])
+    assert {k: len(v) for k, v in sets.items()} == {2400: 2400, 2700: 2700}
+    assert {i for i in range(1, 2901) if i % 3} <= sets[2400] <= sets[2700]
