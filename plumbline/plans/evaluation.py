@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import fusion, metrics
 from plumbline.plans.base import SQL_DENSE, corpus, query
-from plumbline.plans.retrieval import SQL_RRF, WITH_BM25, bm25_run, dense_run, fused_run
+from plumbline.plans.retrieval import SQL_RRF, WITH_BM25, bm25_run, dense_run, fused_run, ivf_run
 from plumbline.session import table
 
 #: Relevance for the vector run: embeddings of the query's own label.
@@ -36,6 +36,12 @@ def overlap_at_k(spark, sf):
     return metrics.overlap_at(run, top_k(run.where("id % 5 <> 0").drop("rank"), 10), 10)
 
 
+@query()
+def overlap_ivf_at_k(spark, sf):
+    """The exact run against the inverted file's, over the stated query set; ``overlap_at_k`` and its SQL leave out ids instead."""
+    return metrics.overlap_at(dense_run(spark, sf, 10), ivf_run(spark, sf, 10), 10)
+
+
 @query("""SELECT kind, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 2) AS p50, round(quantile_cont(latency_ms, 0.95), 2) AS p95, round(quantile_cont(latency_ms, 0.99), 2) AS p99, round(avg(latency_ms), 2) AS mean
 FROM trace_log WHERE latency_ms IS NOT NULL GROUP BY kind""")
 def latency_percentiles(spark, sf):

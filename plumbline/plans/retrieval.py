@@ -92,10 +92,14 @@ def rerank_exact_all(spark, sf):
     return dense.rerank(dense_run(spark, sf), v.withColumnRenamed("id", "qid"), v, 10)
 
 
+def ivf_run(spark, sf, k: int = 10):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dense.ivf_search(v.where("id % 100 = 0").withColumnRenamed("id", "qid"), v, k)
+
+
 @query()
 def ivf_search(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.ivf_search(v.where("id % 100 = 0").withColumnRenamed("id", "qid"), v, 10)
+    return ivf_run(spark, sf)
 
 
 #: A second list for the chunk questions: chunks whose page the question cites, by distance in pages.

@@ -55,3 +55,13 @@ def test_subsets_hold_all_positives(spark, store):
         sets.setdefault(r["size"], set()).add(r["id"])
     assert {k: len(v) for k, v in sets.items()} == {2400: 2400, 2700: 2700}
     assert {i for i in range(1, 2901) if i % 3} <= sets[2400] <= sets[2700]
+
+
+def test_overlap_of_inverted_file_with_brute_force(spark, vectors):
+    at, x = vectors
+    want, found = brute_force(x, 10), {}
+    for r in registry.queries()["ivf_search"](spark, at).collect():
+        found.setdefault(r["qid"], set()).add(r["id"])
+    share = sum(len(found.get(q, set()) & set(ids)) for q, ids in want.items()) / (10 * len(want))
+    got = registry.queries()["overlap_ivf_at_k"](spark, at).collect()
+    assert [tuple(r) for r in got] == [(len(want), round(share, 4))]
