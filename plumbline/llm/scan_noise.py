@@ -343,14 +343,15 @@ class Page:
             a, fallback = a[0], None
             self.open_ends.add(i)
             passed = set()
-            for j in range(i + 1, min(len(self.lines), i + 7)):
+            for j in range(i + 1, len(self.lines)):
                 if j in self.furniture or not self.lines[j].strip():
                     continue
                 m = _FIRST.match(self.lines[j])
                 if not m or self.lines[j].lstrip()[:1].isdigit():
                     continue
                 b = m[1]
-                passed.add(j)
+                if j < i + 7:  # farther lines are not doubted for want of the other half
+                    passed.add(j)
                 solid, dashed = counts.get((a + b).lower(), 0), counts.get(f"{a}-{b}".lower(), 0)
                 if solid or dashed:
                     out.append((i, j, a, b, a + b if solid >= dashed or end[-1] != "-" and solid else f"{a}-{b}"))

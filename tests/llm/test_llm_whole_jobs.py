@@ -4,10 +4,20 @@ import math
 
 import pytest
 
-from plumbline.llm import neighbours
+from plumbline.llm import neighbours, scan_noise
 
 
 @pytest.mark.parametrize("bits", [1, 4, 8, 11, 14])
 def test_pairs_at_the_border_meet(bits):
     same = (1 - math.acos(0.95) / math.pi) ** bits
     assert (1 - same) ** neighbours.table_count(0.95, bits) <= 0.001
+
+
+def test_cut_word_across_a_long_notice():
+    lex = scan_noise.Lexicon({"remove": 500, "assembly": 500, "the": 900}, {})
+    notice = [f"NOTICE Read Rule {i} First." for i in "ABCDEFGH"]
+    text = "\n".join(["remove the assem-", "", "", *notice, "", "bly"])
+    page = scan_noise.Page(text, None, None, lex)
+    assert [(a, b, whole) for _, _, a, b, whole in page.joints()] == [("assem", "bly", "assembly")]
+    noise, fixed = scan_noise.repair(text, None, None, lex, set(), True)
+    assert "hyphen" in noise and "assembly" in fixed
