@@ -198,7 +198,7 @@ class Lexicon:
             if all(parts) and len(parts) == 2:
                 joined = ["-".join(x) for x in product(*parts)]
                 out = [(1, w) for w in joined if w != word and self.counts.get(w, 0) >= LEAST_COUNT]
-        self.links[word] = out = tuple(w for _, w in sorted(out, reverse=True)[:4])
+        self.links[word] = out = tuple(w for _, w in sorted(out, reverse=True))
         return out
 
     def best(self, word: str, around: list[str]) -> str | None:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from plumbline.llm import neighbours, scan_noise
@@ -21,3 +22,13 @@ def test_cut_word_across_a_long_notice():
     assert [(a, b, whole) for _, _, a, b, whole in page.joints()] == [("assem", "bly", "assembly")]
     noise, fixed = scan_noise.repair(text, None, None, lex, set(), True)
     assert "hyphen" in noise and "assembly" in fixed
+
+
+def test_context_chooses_among_all_candidates(monkeypatch):
+    words = ["seal", "sear", "seat", "sect", "self", "send"]  # the right one is the rarest
+    monkeypatch.setattr(scan_noise, "glyph_repairs", lambda w: frozenset(words))
+    axis = np.eye(2, dtype=np.float32)
+    counts = {w: 900 - 100 * i for i, w in enumerate(words)} | {"letter": 5000}
+    lex = scan_noise.Lexicon(counts, {w: axis[int(w == "send")] for w in words} | {"letter": axis[1]})
+    assert lex.candidates("sexx")[0] == "seal"
+    assert lex.best("sexx", ["letter"]) == "send"
