@@ -18,9 +18,24 @@ def clean_lines(spark, sf):
     return spread(table(spark, sf, "chunks").select("id", "text")).select("id", T.clean_page(F.col("text")).alias("cleaned"))
 
 
-@query()
+#: Cuts one chunk of every document a round. ``_RFIND``: where a mark stands last in the window, -1 if nowhere.
+_RFIND = "CASE WHEN instr(reverse(w), reverse({m})) = 0 THEN -1 ELSE length(w) - instr(reverse(w), reverse({m})) - length({m}) + 1 END"
+_ENDS = "".join(f"WHEN {_RFIND.format(m=m)} > 400 THEN {_RFIND.format(m=m)} + 1 " for m in ("'. '", "'.' || chr(10)", "'? '", "'! '"))
+_STRIPPED = f"regexp_replace(text, '^([\\x0b\\x1c-\\x1f]|{T.SPACE})+|([\\x0b\\x1c-\\x1f]|{T.SPACE})+$', '', 'g')"
+SQL_CHUNKS = f"""WITH RECURSIVE pages AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY ordinal, id) AS text FROM chunks WHERE text IS NOT NULL GROUP BY doc, page),
+begun AS (SELECT *, bool_or(text <> '') OVER (PARTITION BY doc ORDER BY page NULLS FIRST) AS begun FROM pages),
+placed AS (SELECT doc, page, text, sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY page NULLS FIRST) - 1 AS ends FROM begun WHERE begun),
+docs AS (SELECT doc, string_agg(text, chr(10) ORDER BY page NULLS FIRST) AS body, list({{'ends': ends, 'page': page}} ORDER BY ends) AS ends FROM placed GROUP BY doc),
+cut AS (SELECT doc, 0 AS start, -1 AS ordinal, ends[1].page AS page, NULL::VARCHAR AS text, 0 AS nxt, ends[1].page AS nxt_page, length(body) AS size FROM docs
+UNION ALL SELECT doc, nxt, ordinal + 1, nxt_page, CASE WHEN whole THEN substr(w, 1, cut_at) ELSE w END, CASE WHEN whole THEN nxt + greatest(cut_at - 200, 1) ELSE size END, reading, size
+FROM (SELECT *, CASE {_ENDS} WHEN {_RFIND.format(m="' '")} > 400 THEN {_RFIND.format(m="' '")} ELSE 1200 END AS cut_at
+FROM (SELECT c.*, substr(d.body, c.nxt + 1, 1200) AS w, c.nxt + 1200 <= c.size AS whole, list_filter(d.ends, lambda e: e.ends >= c.nxt + 1200)[1].page AS reading FROM cut c JOIN docs d ON d.doc IS NOT DISTINCT FROM c.doc WHERE c.nxt < c.size)))
+SELECT doc, page, ordinal::INTEGER AS ordinal, {_STRIPPED} AS text FROM cut WHERE ordinal >= 0 AND (start + 1200 <= size OR {_STRIPPED} <> '')"""
+
+
+@query(SQL_CHUNKS)
 def chunk_documents(spark, sf):
-    """Pages put together from the chunks and cut anew; tested against a plain loop."""
+    """Pages put together from the chunks and cut anew."""
     return chunking.chunk_documents(store.page_texts(corpus(spark, sf).join(table(spark, sf, "chunks").select("id", "ordinal"), "id"), "\n"))
 
 

@@ -35,23 +35,38 @@ def test_parsing(spark):
     assert column(spark, ["</data> x <<untrusted y>"], T.fence) == ["<untrusted-data>\n[tag removed] x [tag removed]\n</untrusted-data>"]
 
 
-def naive_chunks(pages, size, overlap):
-    out, buf, label = [], "", None
+MARKS = (". ", ".\n", "? ", "! ")
+
+
+def brute_force_cut(window):
+    """Of all places where a chunk may end, the best: the kind first, then the latest."""
+    late = range(len(window) // 3 + 1, len(window))
+    places = [(-kind, at + 1) for kind, m in enumerate(MARKS) for at in late if window[at : at + 2] == m]
+    places += [(-len(MARKS), at) for at in late if window[at] == " "]
+    return max(places)[1] if places else len(window)
+
+
+def brute_force_chunks(pages, size, overlap):
+    """Page by page as it is read; every place is tried at every cut."""
+    out, held, label = [], "", None
     for page, text in pages:
-        buf, label = (buf + "\n" + text, label) if buf else (text, page)
-        while len(buf) >= size:
-            cut = chunking.cut_position(buf, size)
-            out.append((label, buf[:cut].strip()))
-            buf, label = buf[max(cut - overlap, 1) :], page
-    return out + ([(label, buf.strip())] if buf.strip() else [])
+        if not held:
+            label = page
+        held += "\n" * bool(held) + text
+        while len(held) >= size:
+            cut = brute_force_cut(held[:size])
+            out.append((label, held[:cut].strip()))
+            held, label = held[max(1, cut - overlap) :], page
+    return out + ([(label, held.strip())] if held.strip() else [])
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab .\n?", max_size=300), max_size=6), st.integers(20, 80), st.integers(0, 15))
-def test_chunk_stream(texts, size, overlap):
+def test_chunk_pages(texts, size, overlap):
     pages = list(enumerate(texts, 1))
-    got = list(chunking.chunk_stream(pages, size, overlap))
-    assert [(p, t) for p, _, t in got] == naive_chunks(pages, size, overlap)
+    got = list(chunking.chunk_pages(pages, size, overlap))
+    assert [(p, t) for p, _, t in got] == brute_force_chunks(pages, size, overlap)
+    assert list(chunking.chunk_pages(pages, size, overlap, stretch=1)) == got
     assert [o for _, o, _ in got] == list(range(len(got))) and all(len(t) <= size for _, _, t in got)
 
 
@@ -61,15 +76,17 @@ def test_chunk_documents(spark):
     got = chunking.chunk_documents(spark.createDataFrame(rows, "doc string, page int, text string"), 120, 30).collect()
     for d in ("a", "b", None):
         own = sorted((r["ordinal"], r["page"], r["text"]) for r in got if r["doc"] == d)
-        assert [(p, t) for _, p, t in own] == naive_chunks([(p, t) for dd, p, t in rows if dd == d and t is not None], 120, 30)
+        assert [(p, t) for _, p, t in own] == brute_force_chunks([(p, t) for dd, p, t in rows if dd == d and t is not None], 120, 30)
     with pytest.raises(ValueError):
         chunking.chunk_documents(spark.createDataFrame(rows, "doc string, page int, text string"), 10, 10)
 
 
-def test_cut_position_prefers_kind_over_place():
+def test_cuts_prefer_kind_over_place():
     text = "aaaa aaaa aaaa. bbbb bbbb? cccc cccc cccc"
-    assert text[: chunking.cut_position(text, 40)] == "aaaa aaaa aaaa."
-    assert chunking.cut_position("x" * 50, 40) == 40
+    assert [t for _, _, t in chunking.chunk_pages([(1, text)], 40, 0)] == ["aaaa aaaa aaaa.", "bbbb bbbb? cccc cccc cccc"]
+    assert [t for _, _, t in chunking.chunk_pages([(1, "x" * 50)], 40, 5)] == ["x" * 40, "x" * 15]
+    assert list(chunking.chunk_pages([(1, ""), (2, ""), (3, "ab")], 2, 0)) == [(3, 0, "ab")]
+    assert list(chunking.chunk_pages([(1, "abcd"), (2, ""), (3, "ef")], 4, 0)) == [(1, 0, "abcd"), (3, 1, "ef")]
 
 
 def test_store_operations(spark):
