@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.session import small_side
+
 MIN_GROUP = 30
 
 
@@ -60,8 +62,8 @@ def decide(df: DataFrame, gate: DataFrame, group: str) -> DataFrame:
 
     ``gate`` is (grp, threshold). Rows without score are not answered.
     """
-    small = F.broadcast(gate.select(F.col("grp").alias(group), F.col("threshold").alias("own")))  # one row per group
-    everyone = F.broadcast(gate.where("grp = '_global'").select(F.col("threshold").alias("common")))
+    small = small_side(gate.select(F.col("grp").alias(group), F.col("threshold").alias("own")), gate.count())
+    everyone = F.broadcast(gate.where("grp = '_global'").limit(1).select(F.col("threshold").alias("common")))
     out = df.join(small, group, "left").crossJoin(everyone)
     out = out.withColumn("threshold", F.coalesce("own", "common")).drop("own", "common")
     return out.withColumn("answered", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
@@ -78,20 +80,37 @@ def selective_risk(df: DataFrame, by: list[str], answered: Column | None = None)
     )
 
 
+def _means_of_best(df: DataFrame, by: list[str], sizes: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """(keys, n, risk): mean loss of the ``want`` best-scored rows of each set; ties go by id.
+
+    ``sizes`` is (keys, want), ``keys`` being ``by`` and what tells several sizes of a set apart.
+    Counts and losses are summed per score first; of the rows themselves only those of the score at
+    the border are ranked.
+    """
+    per = df.groupBy(*by, "score").agg(F.count("*").alias("c"), F.sum("loss").alias("l"), F.count("loss").alias("m"))
+    meet = lambda a, b: a.join(b, by) if by else a.crossJoin(b)
+    upto = Window.partitionBy(*by).orderBy(F.desc("score"))
+    per = per.select(*by, "score", "c", *[(F.sum(x).over(upto) - F.coalesce(F.col(x), F.lit(0))).alias(f"{x}_above") for x in ("c", "l", "m")])
+    border = meet(per, sizes).where((F.col("c_above") < F.col("want")) & (F.col("want") <= F.col("c_above") + F.col("c")))
+    border = border.withColumnRenamed("score", "at").select(*keys, "at", "want", "c_above", "l_above", "m_above")
+    ranked = meet(df, border.select(*by, F.col("at").alias("__at")).distinct()).where(F.col("score").eqNullSafe(F.col("__at"))).drop("__at")
+    ranked = ranked.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "score").orderBy(ident)))
+    met = meet(border, ranked.select(*by, "score", "loss", "__r")).where(F.col("score").eqNullSafe(F.col("at")) & (F.col("__r") <= F.col("want") - F.col("c_above")))
+    sums = met.groupBy(*keys).agg(F.first("want").alias("n"), (F.first("l_above") + F.coalesce(F.sum("loss"), F.lit(0.0))).alias("l"), (F.first("m_above") + F.count("loss")).alias("m"))
+    return sums.select(*keys, "n", F.try_divide("l", "m").alias("risk"))
+
+
 def head_purity(df: DataFrame, by: list[str], keep: float = 0.3, ident: str = "id") -> DataFrame:
     """(by, head, risk): mean loss of the best-scored share, at least one row; ties go by id."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), ident))).withColumn("__n", F.count("*").over(w))
-    top = ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * keep)))
-    return top.groupBy(*by).agg(F.count("*").alias("head"), F.avg("loss").alias("risk"))
+    sizes = df.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count("*") * keep)).alias("want"))
+    return _means_of_best(df, by, sizes, by, ident).withColumnRenamed("n", "head")
 
 
 def risk_at_coverage(df: DataFrame, by: list[str], coverages: DataFrame, ident: str = "id") -> DataFrame:
     """(by, coverage, n, risk): mean loss of the top round(coverage * n) rows, halves rounded to even."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), ident))).withColumn("__n", F.count("*").over(w))
-    top = ranked.crossJoin(F.broadcast(coverages)).where(F.col("__r") <= F.bround(F.col("coverage") * F.col("__n")))
-    return top.groupBy(*by, "coverage").agg(F.count("*").alias("n"), F.avg("loss").alias("risk"))
+    totals = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    sizes = totals.crossJoin(F.broadcast(coverages)).select(*by, "coverage", F.bround(F.col("coverage") * F.col("__n")).cast("bigint").alias("want"))
+    return _means_of_best(df, by, sizes, [*by, "coverage"], ident)
 
 
 #: Trials of the nested gate: margins tried on the validation part.

@@ -2,44 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ascii_tokens, note_words
-from plumbline.operators.dense import cosine
+from plumbline.operators.dense import nearest_of_pool
 from plumbline.operators.resample import draw
+from plumbline.session import small_side
 
 
-def shingles(tokens, n: int):
-    """Runs of n tokens as strings; the whole list if it is shorter; none if it is empty."""
+def _runs(tokens: Column, n: int) -> Column:
+    """Each run of n tokens: a hash of its inner tokens, the first, the inner ones as text, the last. Shorter lists have none."""
 
-    def runs(t):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+    def cut(t: Column) -> Column:
+        inner = lambda i: F.array_join(F.slice(t, i + 1, n - 2), " ")
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(inner(i)).alias("h"), F.element_at(t, i).alias("first"), inner(i).alias("inner"), F.element_at(t, i + n - 1).alias("last")))
 
     # The token list is bound to a lambda variable, so that it is made once and not once per run.
-    return F.flatten(F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<string>"))))
+    return F.flatten(F.transform(F.array(tokens), cut))
 
 
 def verbatim_overlaps(probes: DataFrame, sources: DataFrame, n: int = 8) -> DataFrame:
-    """(probe_id, shared): how many of a probe's distinct runs of n words stand in some source; probes with none are left out.
+    """(probe_id, shared): how many of a probe's distinct runs of n words stand in some source's text; probes with none are left out.
 
-    Both sides are (id, text); texts shorter than n words are compared whole. Runs are met as a
-    set (semi-join), so a run that stands in every source costs no more than one that stands
-    in one. Null and empty texts share nothing.
+    Both sides are (id, text), reduced to words a-z0-9 with single blanks. A run is sought as text, so
+    its first word may be the end, and its last word the beginning, of a longer word of the source.
+    Texts of fewer than n words (n is 3 or more) have no runs. Null and empty texts share nothing.
+
+    Runs meet on a hash of their inner words, which match whole; the ends are then compared as text.
+    Where the probes' runs are few, they are broadcast, and of the sources only hits are shuffled.
     """
-    runs = lambda df: F.explode_outer(F.array_distinct(shingles(ascii_tokens(F.col("text")), n)))
-    a = probes.select(F.col("id").alias("probe_id"), runs(probes).alias("s"))
-    b = sources.select(runs(sources).alias("s")).where("s is not null").distinct()
-    return a.join(b, "s", "left_semi").groupBy("probe_id").agg(F.count("*").alias("shared"))
+    run = F.inline(_runs(ascii_tokens(F.col("text")), n))
+    a = probes.select(F.col("id").alias("probe_id"), run).distinct()
+    wanted = a.select("h", F.col("first").alias("pf"), F.col("inner").alias("pi"), F.col("last").alias("pl")).distinct()
+    wanted = small_side(wanted, wanted.count(), 128)
+    hit = F.col("first").endswith(F.col("pf")) & (F.col("inner") == F.col("pi")) & F.col("last").startswith(F.col("pl"))
+    found = sources.select(run).join(wanted, "h").where(hit).select(F.col("pf").alias("first"), F.col("pi").alias("inner"), F.col("pl").alias("last")).distinct()
+    return a.join(found, ["first", "inner", "last"]).groupBy("probe_id").agg(F.count("*").alias("shared"))
 
 
 def paraphrases(candidates: DataFrame, pool: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, nearest): candidates (id, vec) with their highest cosine to the pool (vec), dropping those at or over ``least``.
 
-    The pool is a stated, small set of test questions; its size is the caller's to check.
+    The pool is a stated set of test questions, met in blocks of bounded size; a candidate gives up
+    one number a block. Null, all-zero and odd-sized vectors are near to nothing.
     """
-    sims = candidates.crossJoin(F.broadcast(pool.select(F.col("vec").alias("pvec"))))
-    return sims.groupBy("id").agg(F.round(F.max(cosine(F.col("vec"), F.col("pvec"))), 6).alias("nearest")).where(F.col("nearest") < least)
+    best = nearest_of_pool(candidates, pool)
+    return best.where(F.col("nearest") < least)
 
 
 def excluded_pages(gold: DataFrame, margin: int = 1) -> DataFrame:
@@ -80,20 +90,51 @@ def ratio_cap(df: DataFrame, declines: str, share: float, seed: int, ident: str
 def note_support(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, problem, support): what is wrong with a question's citation; ``problem`` is 'ok' if nothing.
 
-    An unanswerable question must cite nothing; the manual must be known, the page have text,
-    and half of the note's words stand in it (as substrings).
+    A question that is not answerable must cite nothing; the manual must be known, the page have
+    text, and half of the note's words stand in it (as substrings). Page and note are reduced to a-z,
+    0-9 and blanks; a note without words to look for is sound, and its support null.
     """
     docs = pages.select("doc").distinct().withColumn("known", F.lit(True))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " "), " +", " "))
     joined = questions.join(docs, questions["gold_doc"] == docs["doc"], "left").drop("doc")
-    joined = joined.join(pages.select("doc", "page", F.lower("text").alias("ptext")), (F.col("gold_doc") == F.col("doc")) & (F.col("gold_page") == F.col("page")), "left")
+    joined = joined.join(pages.select("doc", "page", plain.alias("ptext")), (F.col("gold_doc") == F.col("doc")) & (F.col("gold_page") == F.col("page")), "left")
     words = note_words(F.coalesce("note", F.lit("")))
     hit = F.size(F.filter(words, lambda w: F.col("ptext").contains(w)))
-    support = F.when(F.col("ptext").isNotNull(), F.round(F.try_divide(hit.cast("double"), F.size(words)), 6))
+    has_text = F.coalesce(F.col("ptext"), F.lit("")) != ""
+    support = F.when(has_text & F.coalesce("answerable", F.lit(False)) & F.col("known"), F.round(F.try_divide(hit.cast("double"), F.size(words)), 6))
     problem = (
-        F.when(~F.col("answerable"), F.when(F.col("gold_doc").isNotNull() | F.col("gold_page").isNotNull(), "unanswerable cites a page").otherwise("ok"))
+        F.when(~F.coalesce("answerable", F.lit(False)), F.when(F.col("gold_doc").isNotNull() | F.col("gold_page").isNotNull(), "unanswerable cites a page").otherwise("ok"))
         .when(F.col("known").isNull(), "unknown manual")
-        .when(F.col("ptext").isNull(), "page without text")
-        .when(F.coalesce(support, F.lit(0.0)) < 0.5, "note not on page")
+        .when(~has_text, "page without text")
+        .when(support < 0.5, "note not on page")
         .otherwise("ok")
     )
     return joined.select("id", problem.alias("problem"), support.alias("support"))
+
+
+#: Bounds of the share of questions without answer.
+UNANSWERABLE_SHARE = (0.25, 0.45)
+
+
+def set_contract(questions: DataFrame) -> DataFrame:
+    """(rule, rows): how many rows or keys break each rule of a question set; rules that hold are there with 0.
+
+    Rows that are alike in all columns count once. Two questions are the same if they agree in
+    lower case after all but a-z is turned into blanks and blanks are squeezed.
+    """
+    u = questions.select("id", "type", "question", "answerable", "gold_doc", "gold_page", "note", "source").distinct()
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    yes, no = F.coalesce("answerable", F.lit(False)), ~F.coalesce("answerable", F.lit(True))
+    asked = F.trim(F.regexp_replace(F.regexp_replace(F.lower("question"), "[^a-z ]", " "), " +", " "))
+    count = lambda c: F.count(F.when(c, 1))
+    rules = u.agg(
+        count(F.col("id").isNull() | F.col("type").isNull() | F.col("question").isNull() | F.col("answerable").isNull() | F.col("source").isNull()).alias("missing field"),
+        count(F.col("question").isNotNull() & ~F.rtrim("question").endswith("?")).alias("question without mark"),
+        count(yes & (blank(F.col("gold_doc")) | ~F.coalesce(F.col("gold_page") > 0, F.lit(False)) | blank(F.col("note")))).alias("answerable without source"),
+        count(no & (F.col("gold_doc").isNotNull() | F.col("gold_page").isNotNull())).alias("unanswerable with source"),
+        F.when(F.avg(F.when(no, 1.0).when(yes, 0.0)).between(*UNANSWERABLE_SHARE), 0).otherwise(1).cast("bigint").alias("share out of bounds"),
+    )
+    names = rules.columns
+    broken = rules.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("rows")) for n in names])))
+    again = lambda key, rule: u.where(key.isNotNull()).groupBy(key.alias("k")).count().where("count > 1").agg(F.count("*").alias("rows")).select(F.lit(rule).alias("rule"), "rows")
+    return broken.unionByName(again(F.col("id"), "repeated id")).unionByName(again(asked, "repeated question"))

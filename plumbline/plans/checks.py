@@ -25,10 +25,12 @@ def fixture(spark):
 
 
 SQL_TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
-SQL_SHINGLE = """{n}s AS (SELECT id, unnest(CASE WHEN len(tok) = 0 THEN [] WHEN len(tok) < 8 THEN [array_to_string(tok, ' ')] ELSE list_transform(range(1, len(tok) - 6), lambda i: array_to_string(tok[i:i + 7], ' ')) END) AS s FROM (SELECT id, """ + SQL_TOK.format("{t}") + """ AS tok FROM {f}))"""
 
 
-@query("WITH probes AS (SELECT id, min(note) AS text FROM golden_generated WHERE note IS NOT NULL GROUP BY id), " + SQL_SHINGLE.format(n="probe_", t="text", f="probes") + ", " + SQL_SHINGLE.format(n="source_", t="text", f="chunks WHERE text IS NOT NULL") + " SELECT a.id AS probe_id, count(*) AS shared FROM (SELECT DISTINCT id, s FROM probe_s) a SEMI JOIN source_s b ON a.s = b.s GROUP BY a.id")
+@query("WITH probes AS (SELECT id, min(note) AS text FROM golden_generated WHERE note IS NOT NULL GROUP BY id), t AS (SELECT id, " + SQL_TOK.format("text") + """ AS tok FROM probes),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(tok) - 6), lambda i: array_to_string(tok[i:i + 7], ' '))) AS s FROM t),
+sources AS (SELECT array_to_string(""" + SQL_TOK.format("text") + """, ' ') AS body FROM chunks WHERE text IS NOT NULL)
+SELECT s.id AS probe_id, count(*) AS shared FROM s WHERE EXISTS (SELECT 1 FROM sources WHERE contains(body, s.s)) GROUP BY s.id""")
 def verbatim_8gram(spark, sf):
     probes = table(spark, sf, "golden_generated").where("note is not null").groupBy("id").agg(F.min("note").alias("text"))
     return leakage.verbatim_overlaps(probes, corpus(spark, sf).select("id", "text"))
@@ -78,18 +80,11 @@ def label_check(spark, sf):
     return s.select("id", F.when(F.col("answerable"), F.col("score") >= 0.5).otherwise(F.col("score") <= 0.2).alias("kept")).distinct()
 
 
-@query("""WITH pos AS (SELECT DISTINCT chunk_id AS id FROM chunk_vectors WHERE chunk_id <= 40 AND chunk_id IN (SELECT id FROM chunks)), r AS (SELECT id, row_number() OVER (ORDER BY md5('2:' || id), id) AS r FROM chunks c ANTI JOIN pos ON pos.id = c.id)
-SELECT z.size, id FROM pos CROSS JOIN (SELECT unnest([100, 200]) AS size) z UNION ALL SELECT z.size, r.id FROM r CROSS JOIN (SELECT unnest([100, 200]) AS size) z WHERE r.r <= z.size - (SELECT count(*) FROM pos)""")
-def nested_subsets(spark, sf):
-    pos = table(spark, sf, "chunk_vectors").where("chunk_id <= 40").select(F.col("chunk_id").alias("id"))
-    return resample.nested_subsets(table(spark, sf, "chunks").select("id"), pos, [100, 200], 2, "id")
-
-
 @query("""WITH pos AS (SELECT DISTINCT chunk_id AS id FROM chunk_vectors WHERE chunk_id IN (SELECT id FROM chunks)), z AS (SELECT unnest([count(DISTINCT id) * 8 // 10, count(DISTINCT id) * 9 // 10]) AS size FROM chunks),
 r AS (SELECT id, row_number() OVER (ORDER BY md5('2:' || id), id) AS r FROM (SELECT DISTINCT id FROM chunks) c ANTI JOIN pos ON pos.id = c.id)
 SELECT z.size, id FROM pos CROSS JOIN z UNION ALL SELECT z.size, r.id FROM r CROSS JOIN z WHERE r.r <= z.size - (SELECT count(*) FROM pos)""")
-def nested_subsets_all(spark, sf):
-    """All chunks with a vector are positives, and the sets take 8 and 9 tenths of the corpus; ``nested_subsets`` and its SQL stop at id 40 and 200 rows."""
+def nested_subsets(spark, sf):
+    """All chunks with a vector are positives, and the sets take 8 and 9 tenths of the corpus."""
     c = table(spark, sf, "chunks").select("id")
     n = c.agg(F.count_distinct("id")).first()[0]
     pos = table(spark, sf, "chunk_vectors").select(F.col("chunk_id").alias("id"))
@@ -111,9 +106,11 @@ SQL_PAGES = "pages AS (SELECT doc, page, string_agg(text, ' ' ORDER BY ordinal,
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_NOTES)
 
 
-@query("WITH " + SQL_PAGES + ", g AS (SELECT DISTINCT id, answerable, gold_doc, gold_page, note FROM golden_generated), j AS (SELECT g.*, gold_doc IN (SELECT doc FROM chunks WHERE doc IS NOT NULL) AS known, lower(p.text) AS ptext, list_filter(string_split_regex(regexp_replace(lower(coalesce(note, '')), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 3 AND NOT list_contains([" + _STOP + """], w)) AS words FROM g LEFT JOIN pages p ON p.doc = g.gold_doc AND p.page = g.gold_page),
-s AS (SELECT *, CASE WHEN ptext IS NULL THEN NULL WHEN len(words) = 0 THEN NULL ELSE round(len(list_filter(words, lambda w: contains(ptext, w)))::DOUBLE / len(words), 6) END AS support FROM j)
-SELECT id, CASE WHEN NOT answerable THEN CASE WHEN gold_doc IS NOT NULL OR gold_page IS NOT NULL THEN 'unanswerable cites a page' ELSE 'ok' END WHEN NOT coalesce(known, false) THEN 'unknown manual' WHEN ptext IS NULL THEN 'page without text' WHEN coalesce(support, 0) < 0.5 THEN 'note not on page' ELSE 'ok' END AS problem, support FROM s""")
+@query("WITH " + SQL_PAGES + """, g AS (SELECT DISTINCT id, coalesce(answerable, false) AS answerable, gold_doc, gold_page, note FROM golden_generated),
+j AS (SELECT g.*, coalesce(gold_doc IN (SELECT doc FROM chunks WHERE doc IS NOT NULL), false) AS known, array_to_string(list_filter(string_split(regexp_replace(lower(coalesce(p.text, '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS body,
+list_filter(string_split(regexp_replace(lower(coalesce(note, '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: length(w) > 3 AND NOT list_contains([""" + _STOP + """], w)) AS words FROM g LEFT JOIN pages p ON p.doc = g.gold_doc AND p.page = g.gold_page),
+s AS (SELECT *, CASE WHEN answerable AND known AND body <> '' AND len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(body, w)))::DOUBLE / len(words), 6) END AS support FROM j)
+SELECT id, CASE WHEN NOT answerable THEN CASE WHEN gold_doc IS NULL AND gold_page IS NULL THEN 'ok' ELSE 'unanswerable cites a page' END WHEN NOT known THEN 'unknown manual' WHEN body = '' THEN 'page without text' WHEN support < 0.5 THEN 'note not on page' ELSE 'ok' END AS problem, support FROM s""")
 def golden_verify(spark, sf):
     g = table(spark, sf, "golden_generated").select("id", "answerable", "gold_doc", "gold_page", "note").distinct()
     c = table(spark, sf, "chunks")
@@ -122,17 +119,17 @@ def golden_verify(spark, sf):
     return leakage.note_support(g, pages.unionByName(unread))
 
 
-@query(r"""WITH u AS (SELECT DISTINCT id, answerable, question FROM golden_generated), k AS (SELECT regexp_replace(lower(question), '[^\p{L}\p{N}]+', '', 'g') AS k, count(DISTINCT id) AS n FROM u WHERE question IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1)
-SELECT (SELECT count(*) FROM (SELECT id FROM golden_generated GROUP BY id HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM k) AS repeated_questions, round((SELECT avg(CASE WHEN answerable THEN 0.0::DOUBLE ELSE 1.0 END) FROM u), 6) AS unanswerable_share, (SELECT count(*) FROM golden_generated WHERE id IS NULL OR question IS NULL OR answerable IS NULL) AS missing""")
+@query(r"""WITH u AS (SELECT DISTINCT id, type, question, answerable, gold_doc, gold_page, note, source FROM golden_generated),
+k AS (SELECT array_to_string(list_filter(string_split(regexp_replace(lower(question), '[^a-z ]', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS k FROM u WHERE question IS NOT NULL)
+SELECT 'missing field' AS rule, count(*) FILTER (id IS NULL OR type IS NULL OR question IS NULL OR answerable IS NULL OR source IS NULL) AS rows FROM u
+UNION ALL SELECT 'question without mark', count(*) FILTER (NOT ends_with(rtrim(question), '?')) FROM u
+UNION ALL SELECT 'answerable without source', count(*) FILTER (answerable AND (trim(coalesce(gold_doc, '')) = '' OR coalesce(gold_page, 0) <= 0 OR trim(coalesce(note, '')) = '')) FROM u
+UNION ALL SELECT 'unanswerable with source', count(*) FILTER (NOT answerable AND (gold_doc IS NOT NULL OR gold_page IS NOT NULL)) FROM u
+UNION ALL SELECT 'share out of bounds', CASE WHEN avg(CASE WHEN answerable THEN 0.0::DOUBLE WHEN NOT answerable THEN 1.0 END) BETWEEN 0.25 AND 0.45 THEN 0 ELSE 1 END FROM u
+UNION ALL SELECT 'repeated id', (SELECT count(*) FROM (SELECT id FROM u WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1))
+UNION ALL SELECT 'repeated question', (SELECT count(*) FROM (SELECT k FROM k GROUP BY k HAVING count(*) > 1))""")
 def set_contract(spark, sf):
-    g = table(spark, sf, "golden_generated")
-    u = g.select("id", "answerable", "question").distinct()
-    key = F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}]+", "")
-    repeated = g.groupBy("id").count().where("count > 1").agg(F.count("*").alias("repeated_ids"))
-    asked = u.where("question is not null").groupBy(key.alias("k")).agg(F.count_distinct("id").alias("n")).where("n > 1").agg(F.count("*").alias("repeated_questions"))
-    share = u.agg(F.round(F.avg(F.when(F.col("answerable"), 0.0).otherwise(1.0)), 6).alias("unanswerable_share"))
-    missing = g.agg(F.count(F.when(F.col("id").isNull() | F.col("question").isNull() | F.col("answerable").isNull(), 1)).alias("missing"))
-    return repeated.crossJoin(asked).crossJoin(share).crossJoin(missing)  # one row each
+    return leakage.set_contract(table(spark, sf, "golden_generated"))
 
 
 @query("SELECT doc, page, id FROM chunks WHERE length(text) > 700 AND page IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page ORDER BY md5('4:' || id), id) = 1")

@@ -76,18 +76,10 @@ def cosine_two_level_topk(spark, sf):
     return dense_run(spark, sf, 20)
 
 
-@query("WITH " + SQL_DENSE + """, cand AS (SELECT qid, id FROM dense WHERE id % 2 = 1)
-SELECT c.qid, c.id, s.score, CAST(row_number() OVER (PARTITION BY c.qid ORDER BY s.score DESC, c.id) AS INTEGER) AS rank FROM cand c JOIN dense_scored s ON s.qid = c.qid AND s.id = c.id QUALIFY rank <= 10""")
-def rerank_exact(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    cand = dense_run(spark, sf).where("id % 2 = 1")
-    return dense.rerank(cand, v.withColumnRenamed("id", "qid"), v, 10)
-
-
 @query("WITH " + SQL_DENSE + """, cand AS (SELECT qid, id FROM dense)
 SELECT c.qid, c.id, s.score, CAST(row_number() OVER (PARTITION BY c.qid ORDER BY s.score DESC, c.id) AS INTEGER) AS rank FROM cand c JOIN dense_scored s ON s.qid = c.qid AND s.id = c.id QUALIFY rank <= 10""")
-def rerank_exact_all(spark, sf):
-    """All candidates of the dense run, whereas ``rerank_exact`` and its SQL keep the odd ids only."""
+def rerank_exact(spark, sf):
+    """All candidates of the dense run, scored anew."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return dense.rerank(dense_run(spark, sf), v.withColumnRenamed("id", "qid"), v, 10)
 

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where an older one is cut by a filter on ids."""
+"""Queries do the whole job, whatever the ids."""
 
 import numpy as np
 import pytest
@@ -30,7 +30,7 @@ def vectors(spark, tmp_path_factory):
 def test_rerank_keeps_all_candidates(spark, vectors):
     at, x = vectors
     got = {}
-    for r in registry.queries()["rerank_exact_all"](spark, at).orderBy("qid", "rank").collect():
+    for r in registry.queries()["rerank_exact"](spark, at).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     assert got == brute_force(x, 10)
     assert any(i % 2 == 0 for ids in got.values() for i in ids[1:])
@@ -46,12 +46,12 @@ def store(spark, tmp_path_factory):
 
 
 def test_mark_over_all_vectors(spark, store):
-    assert sorted(r["id"] for r in registry.queries()["high_water_mark_all"](spark, store).collect()) == list(range(2900 + 1, 3001))
+    assert sorted(r["id"] for r in registry.queries()["high_water_mark"](spark, store).collect()) == list(range(2900 + 1, 3001))
 
 
 def test_subsets_hold_all_positives(spark, store):
     sets = {}
-    for r in registry.queries()["nested_subsets_all"](spark, store).collect():
+    for r in registry.queries()["nested_subsets"](spark, store).collect():
         sets.setdefault(r["size"], set()).add(r["id"])
     assert {k: len(v) for k, v in sets.items()} == {2400: 2400, 2700: 2700}
     assert {i for i in range(1, 2901) if i % 3} <= sets[2400] <= sets[2700]
