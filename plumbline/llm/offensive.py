@@ -2,17 +2,19 @@
 
 Texts are cut into windows (sentences; long ones in overlapping parts) and normalised against
 disguises (figures and signs for letters, letters set apart, drawn-out letters, other scripts'
-look-alikes). Two zstandard dictionaries hold toxic and ordinary windows; a window is scored by
-how much shorter the toxic dictionary packs it than the ordinary one. The threshold is
-calibrated on held-out folds of the labelled documents.
-
-Raters label documents, not sentences, and err. So toxic windows are first told from the
-ordinary ones beside them by how their word sequences are spread over the two labels.
+look-alikes). Two zstandard dictionaries are trained, one on toxic and one on ordinary windows; a
+window is scored by how much shorter the toxic dictionary packs it than the ordinary one. The
+threshold is calibrated on held-out folds of the labelled documents.
+
+Raters label documents, not sentences, and err. Training therefore goes in rounds: at first all
+windows of documents labelled 1 count as toxic, afterwards only those that the dictionaries of
+the other folds packed clearly better as toxic. A window of the same wording under both labels goes
+to the side where it stands far more often, so that single wrong labels do not enter a dictionary.
+There is no word list.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
@@ -20,44 +22,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import spread
+from plumbline.session import cut_lineage, spread
 
-LABELLED = 20_000  # at most so many labelled documents fit the classifier, by hash order
-LABEL_CHARS = 20_000  # longer ones are left out of the fit; scoring reads whole texts of any length
-DICT_BYTES = 200_000
-TOXIC_BYTES = 100_000
-ALIKE = 12  # ordinary windows with the same beginning in a dictionary
+LABELLED = 20_000  # at most so many labelled documents fit the classifier, by hash order; scoring reads all
+DICT_BYTES = 110_000
 WINDOW = 160
 STEP = 110
 LEVEL = 6
 SHORT = 40  # packed lengths below this count as this much, as a few bytes decide there
 FOLDS = 4
-FEW = 400  # below so many labelled documents one seed word marks a window, else two
-MIN_RATE = 0.7
-COVERED = 0.3  # least share of a window's words in telling sequences
-ROUNDS = (1e-6, 1e-5, 1e-4, 2e-4)  # allowed chance of a telling sequence, round by round
-
-#: Seed words of the toxic dictionary, for collections with few labels.
-SEEDS = {
-    "en": "idiot moron imbecile retard scumbag asshole bastard bitch whore slut cunt dickhead jackass dumbass prick fucker motherfucker fucking shithead piece of shit stupid useless worthless "
-    "shut up nobody asked you; go kill yourself; drop dead; i will kill you; i will beat you; i will break your bones; you deserve to be beaten; you make me sick; get lost you idiot; "
-    "subhuman vermin; they are a disease; they breed like rats; kill them all; they all belong in cages; dirty thieves by nature; should be wiped out; women are too stupid for this; "
-    "nude naked girls; porn xxx sex video; hardcore porn; blowjob handjob anal sex; cock dick pussy tits nipples cum orgasm; fuck her harder; suck my cock; lick her pussy; jerk off masturbate; panties; horny",
-    "de": "idiot vollidiot arschloch wichser hurensohn schlampe fotze scheißkerl drecksau missgeburt halt die fresse; halts maul; verpiss dich; du bist ein verdammter; gehörst verprügelt; ich bring dich um; "
-    "ungeziefer; untermenschen; müssen verschwinden; vergasen; alle dreckig und diebe; stück scheiße; nackte frauen; geile titten; porno gratis; ficken; schwanz lutschen; muschi; fickte sie",
-    "fr": "connard connasse salope pute enculé abruti débile crétin ta gueule; ferme ta gueule; va crever; nique ta mère; fils de pute; sale race; sales et voleurs; vermine; il faut tous les tuer; parasites; "
-    "gros débile de merde; espèce de; femmes nues; porno gratuit; baiser; sucer sa bite; chatte; seins nus; elle gémissait; il la baisa",
-    "es": "idiota imbécil gilipollas cabrón hijo de puta puta zorra pendejo mierda cállate; vete a la mierda; ojalá te mueras; te voy a matar; eres un inútil; son una plaga; hay que echarlos a todos; "
-    "ratas asquerosas; hay que exterminarlos; mujeres desnudas; porno gratis; follar; la folló; chupar la polla; coño; tetas; bragas",
-}
-
-#: Words of the seeds that are ordinary by themselves.
-SEED_COMMON = frozenset("should women these their thieves nature nobody asked break bones beaten belong cages dirty disease video girls stupid useless worthless drop dead harder shut alle dreckig frauen gratis müssen mussen verschwinden race sales femmes tous tuer espece gros sucer seins inutil mujeres directo hacer todos echarlos chupar dirty wiped disease bitch prick anal".split()) - {"bitch"}
+LEAN = 3  # a wording is toxic material if its share of label-1 documents is so many times that of label-0 ones
+MARGINS = (0.15, 0.1, 0.05)  # least distance of a toxic window, from round to round
 
 #: Signs standing for letters, and look-alikes of other scripts.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "8": "b", "9": "g", "+": "t"})
@@ -82,11 +63,12 @@ def _leet(m: re.Match) -> str:
 
 def normalise(text: str) -> str:
     """Lower case, without disguises, accents and figures."""
-    t = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
+    t = text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
     t = _APART.sub(lambda m: re.sub(r"[ .\-_*~·]", "", m[0]), t).lower()
     t = _MIXED.sub(_leet, t)
     t = _LONG.sub(r"\1", t)
-    t = "".join(ch for ch in unicodedata.normalize("NFD", t.replace("ß", "ss")) if not unicodedata.combining(ch))
+    if not t.isascii():
+        t = "".join(ch for ch in unicodedata.normalize("NFD", t.replace("ß", "ss")) if not unicodedata.combining(ch))
     t = _OTHER.sub(" ", _NUMBER.sub("#", t))
     return _SPACE.sub(" ", t).strip()
 
@@ -114,17 +96,23 @@ def windows(text: str | None) -> list[str]:
     return out
 
 
-def _features(window: str) -> list[str]:
-    w = window.split()
-    return [" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+# ---- dictionaries ---------------------------------------------------------------------------
+
+
+def train_dictionary(samples: list[str]) -> bytes:
+    """A zstandard dictionary trained on the samples; those the trainer refuses for being too few are the dictionary themselves."""
+    parts = [w.encode() for w in samples]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, parts, k=64, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(parts) or b"........"
 
 
 class Packer:
-    """Packed lengths of windows under one dictionary of plain text."""
+    """Packed lengths of windows under one dictionary."""
 
-    def __init__(self, parts: list[str]):
-        raw = "\n".join(parts).encode() or b"........"
-        data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, dictionary: bytes):
+        data = zstandard.ZstdCompressionDict(dictionary)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=20, min_match=3, strategy=zstandard.STRATEGY_BTOPT, search_log=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         data.precompute_compress(compression_params=params)
         self.packer = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
@@ -133,27 +121,11 @@ class Packer:
         return len(self.packer.compress(window.encode()))
 
 
-def _last(parts: list[str], limit: int) -> list[str]:
-    size, kept = 0, []
-    for p in reversed(parts):
-        size += len(p) + 1
-        if size > limit:
-            break
-        kept.append(p)
-    return kept[::-1]
-
-
 class Model:
-    """Two dictionaries and a threshold.
-
-    The toxic dictionary has the ordinary text too, before its own, so that ordinary
-    windows pack alike under both and only what toxic text adds makes a difference.
-    """
+    """A toxic and an ordinary dictionary, and the distance from which a document is flagged."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], threshold: float = 0.0):
-        toxic, ordinary = _last(toxic, TOXIC_BYTES), _last(ordinary, DICT_BYTES)
-        self.toxic_text, self.ordinary_text, self.threshold = toxic, ordinary, threshold
-        self.toxic, self.ordinary = Packer(ordinary + toxic), Packer(ordinary)
+    def __init__(self, toxic: bytes, ordinary: bytes, threshold: float = 0.0):
+        self.toxic, self.ordinary, self.threshold = Packer(toxic), Packer(ordinary), threshold
         self.memo: dict[str, float] = {}
 
     def distance(self, window: str) -> float:
@@ -162,8 +134,9 @@ class Model:
             return known
         o, t = self.ordinary.length(window), self.toxic.length(window)
         score = (o - t) / max(o, t, SHORT)
-        if len(self.memo) < 300_000:
-            self.memo[window] = score
+        if len(self.memo) >= 300_000:
+            self.memo.clear()
+        self.memo[window] = score
         return score
 
     def score(self, text: str | None) -> float:
@@ -171,136 +144,119 @@ class Model:
         return max((self.distance(w) for w in windows(text)), default=-1.0)
 
 
-def _chance(n: int, p: int, base: float) -> float:
-    """Chance of at least p ones among n at the base rate."""
-    if n > 400:  # normal tail
-        z = (p - 0.5 - n * base) / math.sqrt(n * base * (1 - base))
-        return 0.5 * math.erfc(z / math.sqrt(2))
-    return sum(math.comb(n, k) * base**k * (1 - base) ** (n - k) for k in range(p, n + 1))
+def _mixed(samples: list[str]) -> list[str]:
+    """In an order set by their text alone, with equal ones apart: the trainer takes a share from each stretch of its samples."""
+    nth = Counter()
+    keyed = []
+    for w in samples:
+        nth[w] += 1
+        keyed.append((zlib.crc32(f"{nth[w]} {w}".encode()), w))
+    return [w for _, w in sorted(keyed)]
 
 
-def tell_toxic_windows(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Windows of labelled documents whose word sequences stand far more often under the label 1.
+Labelled = tuple[int, list[str], "list[float] | None"]  # label, windows, their distances so far
 
-    Sequences of one to three words are compared with the share of label 1 among the documents.
-    A window is toxic if telling sequences cover a good part of it. A document with a toxic
-    window is explained: its other windows no longer count for either side, so that the next
-    round can trust rarer sequences.
-    """
-    seeds = {w for s in SEEDS.values() for p in normalise_list(s) for w in p.split() if len(w) > 4} - SEED_COMMON
-    cut = [([(w, w.split(), _features(w)) for w in dict.fromkeys(ws)], y) for ws, y in docs]
-    toxic: set[str] = set()
-    for allowed in ROUNDS:
-        ones, every, total, n_one = Counter(), Counter(), 0, 0
-        for ws, y in cut:
-            if y and any(w in toxic for w, _, _ in ws):
-                continue
-            seen = {f for w, _, fs in ws if w not in toxic for f in fs}
-            total, n_one = total + 1, n_one + y
-            every.update(seen)
-            if y:
-                ones.update(seen)
-        base = (n_one + 1) / (total + 2)
-        tell = {f for f, p in ones.items() if p >= 3 and p / every[f] >= MIN_RATE and _chance(every[f], p, base) <= allowed}
-        for ws, y in cut:
-            for w, tokens, fs in ws:
-                if w in toxic:
-                    continue
-                n = len(tokens)
-                covered = np.zeros(n, dtype=bool)
-                at = 0
-                for k in (1, 2, 3):
-                    for i in range(n - k + 1):
-                        if fs[at] in tell:
-                            covered[i : i + k] = True
-                        at += 1
-                if n and covered.mean() >= COVERED or y and len({t for t in tokens if t in seeds}) >= (1 if len(docs) < FEW else 2) and not any(every[t] > 3 and ones[t] < every[t] / 2 for t in tokens if t in seeds):
-                    toxic.add(w)
-    return toxic
-
-
-def normalise_list(text: str) -> list[str]:
-    return [normalise(p) for p in text.split(";")]
-
-
-def _dictionaries(docs: list[tuple[list[str], int]]) -> tuple[list[str], list[str]]:
-    toxic_set = tell_toxic_windows(docs)
-    toxic = Counter(w for ws, _ in docs for w in ws if w in toxic_set)
-    ordinary = Counter(w for ws, y in docs for w in ws if w not in toxic_set and (not y))
-    extra = Counter(w for ws, y in docs for w in ws if w not in toxic_set and y)
-    common = [w for w in extra if w in ordinary]
-    seeds = [p for x in SEEDS.values() for p in normalise_list(x)]
-    order = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))]
-    return seeds + order(toxic), _varied([*common, *ordinary])
-
-
-def _varied(ordinary: list[str]) -> list[str]:
-    """Ordinary windows in mixed order, at most ``ALIKE`` with the same beginning."""
-    kept, alike = [], Counter()
-    for w in sorted(dict.fromkeys(ordinary), key=lambda w: zlib.crc32(w.encode())):
-        head = " ".join(w.split()[:3])
-        alike[head] += 1
-        if alike[head] <= ALIKE:
-            kept.append(w)
-    return kept
-
-
-def fit(docs: list[tuple[str, int]]) -> Model:
-    """A model from (text, label); the threshold from ``FOLDS`` held-out folds.
-
-    Wrong labels at equal rates leave the best threshold where it is, so it is where the
-    held-out documents agree best with their labels; among equals the middle is taken.
-    """
-    cut = [(windows(t), int(y)) for t, y in docs if t]
-    unique = {tuple(ws): (ws, y) for ws, y in cut}
-    cut = list(unique.values())
-    scores, labels = [], []
-    if len(cut) >= 2 * FOLDS and len({y for _, y in cut}) == 2:
-        for k in range(FOLDS):
-            model = Model(*_dictionaries([d for i, d in enumerate(cut) if i % FOLDS != k]))
-            for ws, y in cut[k::FOLDS]:
-                scores.append(max((model.distance(w) for w in ws), default=-1.0))
-                labels.append(y)
-    return Model(*_dictionaries(cut), threshold=calibrate(scores, labels))
 
+def train(docs: list[Labelled], margin: float | None) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries of labelled documents.
 
-DEFAULT_THRESHOLD = 0.2
+    Toxic samples are the windows of documents labelled 1 over the margin (all of them in the first
+    round); ordinary ones are the windows of documents labelled 0. A wording is a sample as often as
+    documents have it, so that what all texts have is sure to enter.
+    """
+    ones = sum(y for y, _, _ in docs)
+    share = {1: Counter(), 0: Counter()}
+    for y, ws, _ in docs:
+        share[y].update(set(ws))
+    n = {1: max(1, ones), 0: max(1, len(docs) - ones)}
+    leans = lambda w: share[1][w] / n[1] >= LEAN * share[0][w] / n[0]
+    toxic = [w for y, ws, d in docs if y for j, w in enumerate(ws) if (margin is None or d[j] > margin) and leans(w)]
+    ordinary = [w for w, c in share[0].items() if not leans(w) for _ in range(c)]
+    return train_dictionary(_mixed(toxic)), train_dictionary(_mixed(ordinary))
 
 
 def calibrate(scores: list[float], labels: list[int]) -> float:
-    if not scores:
-        return DEFAULT_THRESHOLD
+    """The cut at which held-out documents agree best with their labels.
+
+    Wrong labels at equal rates leave the best cut where it is. Of all cuts within a thousandth of
+    the best agreement the one at a quarter of their span is taken, as ordinary windows end more sharply
+    than toxic ones begin. Without documents of both labels nothing can be told, and nothing is flagged.
+    """
+    if len(set(labels)) < 2:
+        return 1.0
     s, y = np.array(scores), np.array(labels)
-    order = np.argsort(s)
+    order = np.argsort(s, kind="stable")
     s, y = s[order], y[order]
-    # Agreement with every cut between two scores: ones above it and zeros below it.
-    right = y.sum() - np.r_[0, np.cumsum(y)] + np.r_[0, np.cumsum(1 - y)]
-    best = np.flatnonzero(right >= right.max() - 0.002 * len(s))
+    right = y.sum() - np.r_[0, np.cumsum(y)] + np.r_[0, np.cumsum(1 - y)]  # ones above and zeros below each cut
     cuts = np.r_[s[0] - 0.01, (s[1:] + s[:-1]) / 2, s[-1] + 0.01]
-    prior = min(1.0, len(s) / 400)  # few labels: stay near the default
-    return float(prior * np.median(cuts[best]) + (1 - prior) * DEFAULT_THRESHOLD)
+    best = cuts[right >= right.max() - 0.001 * len(s)]
+    return float(max(MARGINS[-1], 0.75 * best.min() + 0.25 * best.max()))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[tuple[str, int]]:
-    """At most ``limit`` labelled texts with the raters' majority (ties, null labels and texts over ``LABEL_CHARS`` drop out), in hash order."""
+def labelled_windows(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """(key, label, fold, windows) of at most ``limit`` labelled documents, in hash order.
+
+    The label is the raters' majority (ties and null labels drop out). Texts are cut whole, where
+    they lie; documents of equal windows are one, with the label most of them have.
+    """
     votes = labels.where("offensive in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("offensive").alias("mean"))
     votes = votes.where("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"))
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = documents.where(F.length("text") <= LABEL_CHARS).select("doc_id", "text")
-    rows = texts.join(votes, "doc_id").select("doc_id", "text", "label").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [list(dict.fromkeys(windows(t))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.string()))], ["label", "windows"])
+
+    texts = documents.select("doc_id", "text").where("text is not null").join(votes, "doc_id").select("label", "text")
+    found = texts.mapInArrow(cut, "label int, windows array<string>").where(F.size("windows") > 0)
+    found = found.groupBy(F.xxhash64("windows").alias("key")).agg(F.avg("label").alias("mean"), F.first("windows").alias("windows"))
+    return found.select("key", (F.col("mean") >= 0.5).cast("int").alias("label"), F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "windows")
+
+
+def _held_out(docs: DataFrame, margin: float | None) -> DataFrame:
+    """The documents with ``d``, their windows' distances by dictionaries of the other folds; a fold is a task."""
+    columns = [c for c in ("label", "windows", "d") if c in docs.columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for own, key, fold, *rest in zip(b["own"], b["key"], b["fold"], *(b[c] for c in columns)):
+                held.setdefault(own, []).append((key, fold, (int(rest[0]), list(rest[1]), rest[2] if len(rest) > 2 else None)))
+        for own, rows in held.items():
+            model = Model(*train([doc for _, fold, doc in rows if fold != own], margin))
+            mine = [(key, doc[0], own, doc[1], [model.distance(w) for w in doc[1]]) for key, fold, doc in rows if fold == own]
+            yield pd.DataFrame(mine, columns=["key", "label", "fold", "windows", "d"])
+
+    each = docs.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    each = each.repartitionByRange(FOLDS, "own").select("own", "key", "fold", *columns)
+    return each.mapInPandas(run, "key bigint, label int, fold int, windows array<string>, d array<float>")
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float]:
+    """(toxic dictionary, ordinary dictionary, threshold). All training runs on the executors; the driver gets the finished dictionaries and one score a labelled document."""
+    docs = cut_lineage(labelled_windows(documents, labels))
+    for margin in (None, *MARGINS):
+        docs = cut_lineage(_held_out(docs, margin))
+    best = docs.select("label", F.array_max("d").alias("best")).collect()  # at most LABELLED rows of two numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(int(y), list(ws), d) for b in batches for y, ws, d in zip(b["label"], b["windows"], b["d"])]
+        yield pd.DataFrame([train(rows, MARGINS[-1])], columns=["toxic", "ordinary"])
+
+    made = docs.select("label", "windows", "d").coalesce(1).mapInPandas(run, "toxic binary, ordinary binary").first()
+    threshold = calibrate([r["best"] for r in best], [r["label"] for r in best])
+    return (bytes(made["toxic"]), bytes(made["ordinary"]), threshold) if made else (b"........", b"........", 1.0)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """``keep`` and score, flagged for every row of documents.
 
     The score is the distance of the most toxic window (null and blank texts: -1, never flagged).
-    Repeated rows are scored each for itself; unlabelled collections are scored with the seed
-    dictionary and the default threshold; null sources stay null.
+    Repeated rows are scored each for itself; collections without labels of both kinds have no
+    flagged rows; null sources stay null.
     """
-    model = fit(labelled_sample(documents, labels))
-    parts = (model.toxic_text, model.ordinary_text, model.threshold)
-    shared = documents.sparkSession.sparkContext.broadcast(parts)  # bounded by DICT_BYTES
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))  # bounded by DICT_BYTES
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep) + ", score double, flagged boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
