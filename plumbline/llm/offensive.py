@@ -38,6 +38,7 @@ LEVEL = 6
 SHORT = 40  # packed lengths below this count as this much, as a few bytes decide there
 FOLDS = 4
 LEAN = 3  # a wording is toxic material if its share of label-1 documents is so many times that of label-0 ones
+RARE = 0.005  # a wording of more label-0 documents than this share is ordinary for certain
 MARGINS = (0.15, 0.1, 0.05)  # least distance of a toxic window, from round to round
 
 #: Signs standing for letters, and look-alikes of other scripts.
@@ -162,7 +163,8 @@ def train(docs: list[Labelled], margin: float | None) -> tuple[bytes, bytes]:
 
     Toxic samples are the windows of documents labelled 1 over the margin (all of them in the first
     round); ordinary ones are the windows of documents labelled 0. A wording is a sample as often as
-    documents have it, so that what all texts have is sure to enter.
+    documents have it, so that what all texts have is sure to enter; a rare one that held-out
+    dictionaries packed as toxic is left out, as its document may be labelled wrongly.
     """
     ones = sum(y for y, _, _ in docs)
     share = {1: Counter(), 0: Counter()}
@@ -171,7 +173,8 @@ def train(docs: list[Labelled], margin: float | None) -> tuple[bytes, bytes]:
     n = {1: max(1, ones), 0: max(1, len(docs) - ones)}
     leans = lambda w: share[1][w] / n[1] >= LEAN * share[0][w] / n[0]
     toxic = [w for y, ws, d in docs if y for j, w in enumerate(ws) if (margin is None or d[j] > margin) and leans(w)]
-    ordinary = [w for w, c in share[0].items() if not leans(w) for _ in range(c)]
+    doubted = set() if margin is None else {w for y, ws, d in docs if not y for j, w in enumerate(ws) if d[j] > MARGINS[0] and share[0][w] <= RARE * n[0]}
+    ordinary = [w for w, c in share[0].items() if not leans(w) and w not in doubted for _ in range(c)]
     return train_dictionary(_mixed(toxic)), train_dictionary(_mixed(ordinary))
 
 
