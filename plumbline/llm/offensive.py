@@ -162,7 +162,7 @@ def train(docs: list[Labelled], margin: float | None) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries of labelled documents.
 
     Toxic samples are the windows of documents labelled 1 over the margin (all of them in the first
-    round); ordinary ones are the windows of documents labelled 0. A wording is a sample as often as
+    round, and where none is over it); ordinary ones are the windows of documents labelled 0. A wording is a sample as often as
     documents have it, so that what all texts have is sure to enter; a rare one that held-out
     dictionaries packed as toxic is left out, as its document may be labelled wrongly.
     """
@@ -172,7 +172,8 @@ def train(docs: list[Labelled], margin: float | None) -> tuple[bytes, bytes]:
         share[y].update(set(ws))
     n = {1: max(1, ones), 0: max(1, len(docs) - ones)}
     leans = lambda w: share[1][w] / n[1] >= LEAN * share[0][w] / n[0]
-    toxic = [w for y, ws, d in docs if y for j, w in enumerate(ws) if (margin is None or d[j] > margin) and leans(w)]
+    every = [(w, margin is None or d[j] > margin) for y, ws, d in docs if y for j, w in enumerate(ws) if leans(w)]
+    toxic = [w for w, over in every if over] or [w for w, _ in every]
     doubted = set() if margin is None else {w for y, ws, d in docs if not y for j, w in enumerate(ws) if d[j] > MARGINS[0] and share[0][w] <= RARE * n[0]}
     ordinary = [w for w, c in share[0].items() if not leans(w) and w not in doubted for _ in range(c)]
     return train_dictionary(_mixed(toxic)), train_dictionary(_mixed(ordinary))
@@ -183,7 +184,9 @@ def calibrate(scores: list[float], labels: list[int]) -> float:
 
     Wrong labels at equal rates leave the best cut where it is. Of all cuts within a thousandth of
     the best agreement the one at a quarter of their span is taken, as ordinary windows end more sharply
-    than toxic ones begin. Without documents of both labels nothing can be told, and nothing is flagged.
+    than toxic ones begin. Where held-out documents are told best by flagging none, too few phrases come
+    twice to be calibrated on, and the first margin is the cut. Without documents of both labels
+    nothing can be told, and nothing is flagged.
     """
     if len(set(labels)) < 2:
         return 1.0
@@ -192,6 +195,8 @@ def calibrate(scores: list[float], labels: list[int]) -> float:
     s, y = s[order], y[order]
     right = y.sum() - np.r_[0, np.cumsum(y)] + np.r_[0, np.cumsum(1 - y)]  # ones above and zeros below each cut
     cuts = np.r_[s[0] - 0.01, (s[1:] + s[:-1]) / 2, s[-1] + 0.01]
+    if right.max() == right[-1]:
+        return MARGINS[0]
     best = cuts[right >= right.max() - 0.001 * len(s)]
     return float(max(MARGINS[-1], 0.75 * best.min() + 0.25 * best.max()))
 

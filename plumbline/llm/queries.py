@@ -49,6 +49,14 @@ def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "chunk_vectors"))
 
 
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search_recall(table(spark, sf, "chunk_vectors"))
+
+
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.linked_chunks(table(spark, sf, "chunk_vectors"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf, "chunks"))
 
