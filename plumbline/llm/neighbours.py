@@ -151,7 +151,7 @@ def _cells(vectors: DataFrame, dim: int, axes: list[int], tables: int) -> DataFr
 
 
 def _collide(sig: np.ndarray, other: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (row of sig, row of other) that collide on at least ``least`` projections; projections are rows here."""
+    """Index pairs (row of sig, row of other) that collide on at least ``least`` projections and lie near by all of them; projections are rows here."""
     misses = np.zeros((sig.shape[1], other.shape[1]), dtype=np.uint8)
     half = PROJECTIONS // 2
     for p in range(half):
@@ -161,6 +161,10 @@ def _collide(sig: np.ndarray, other: np.ndarray, window: int, least: int) -> tup
         rest = (np.abs(sig[half:, a] - other[half:, b]) > window).sum(axis=0) + misses[a, b]
         keep = rest <= PROJECTIONS - least
         a, b = a[keep], b[keep]
+        # A window of WIDTHS deviations: the sum of squares of a pair at the border stays under this bound but for one in a million.
+        most = (PROJECTIONS + 7 * math.sqrt(2 * PROJECTIONS)) * (window / WIDTHS) ** 2
+        keep = (np.square((sig[:, a] - other[:, b]).astype(np.int32)).sum(axis=0)) <= most
+        a, b = a[keep], b[keep]
     return a, b
 
 
