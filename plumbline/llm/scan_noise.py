@@ -4,9 +4,10 @@
    skip-gram counts into vectors: positive pointwise mutual information of the frequent words
    with the most frequent context words, reduced to ``DIMS`` dimensions. (Factorising these
    counts has the optimum of skip-gram with negative sampling, in one pass over the text.)
-2. A rare word is linked to frequent words from which a plausible misreading of glyphs
-   makes it. A link of two words that both occur often must also hold between their vectors;
-   at each occurrence the candidate with the best fit to the neighbouring words is taken.
+2. A rare word gets a vector of its own at each occurrence: that of its neighbours there, in the
+   same space, and that of its letter sequences. It is linked to a frequent word if a plausible
+   misreading of glyphs makes it from that word *and* their vectors are near; of several
+   such words the nearest is taken. A word without near vectors is left alone.
 3. Running headers and page numbers are removed, words cut at line ends are joined across
    whatever stands between, corrections are applied and the lines are reflowed.
 """
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from plumbline.session import cut_lineage, spread
 
 DIMS = 32
-CONTEXTS = 400  # context words: the most frequent ones
+CONTEXTS = 400  # dimensions before reduction: the most frequent words, as in any co-occurrence model
 FREQUENT = 2e-6  # least share of all words for a word to be in the lexicon
 LEAST_COUNT = 4
 RATIO = 25  # a word is rare beside another that is so many times as frequent
-SIMILAR = 0.35  # least cosine of two linked words that both have vectors
+SIMILAR = 0.35  # least cosine of two linked words that both occur often
+NEAR = 0.2  # least cosine of a rare word's vector, at its place, and that of the word it is linked to
+SPELT = 24  # longer words are compared with the lexicon's words of their length, instead of writing out all their repairs
+DOUBTED = 6  # lines after a cut word without other half whose first words are not doubted
 FLUSH = 400_000
 
 #: Misread glyphs and what they may stand for.
@@ -82,6 +86,19 @@ def glyph_repairs(word: str) -> frozenset[str]:
     return frozenset(first if len(word) < 5 else first | {x for w in first for x in once(w)} - {word})
 
 
+def is_glyph_repair(seen: str, meant: str, most: int = 2) -> bool:
+    """Whether at most so many misread glyphs make ``seen`` of ``meant``; at least one. No pair of glyphs begins alike, so a misreading shows where the words part."""
+
+    def walk(i: int, j: int, left: int) -> bool:
+        while i < len(seen) and j < len(meant) and seen[i] == meant[j]:
+            i, j = i + 1, j + 1
+        if i == len(seen) and j == len(meant):
+            return True
+        return left > 0 and any(seen.startswith(x, i) and meant.startswith(y, j) and walk(i + len(x), j + len(y), left - 1) for x, y in GLYPHS)
+
+    return seen != meant and walk(0, 0, most)
+
+
 # ---- learning -------------------------------------------------------------------------------
 
 
@@ -170,27 +187,51 @@ def _count(texts: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
+def _grams(word: str) -> list[str]:
+    w = f"<{word}>"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / max(1e-9, float(np.linalg.norm(v)))
+
+
 class Lexicon:
-    """Frequent words with counts and skip-gram vectors; of bounded size, as each has at least a share of ``FREQUENT``."""
+    """Frequent words with counts and skip-gram vectors; of bounded size, as each has at least a share of ``FREQUENT``.
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray]):
+    ``counts`` also holds rarer words that look like misreadings but are too frequent for one.
+    ``context`` has the vectors that words lend as neighbours (by default those of the words).
+    """
+
+    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], context: dict[str, np.ndarray] | None = None):
         self.counts, self.vectors = counts, vectors
+        self.context = vectors if context is None else context
         self.links: dict[str, tuple[str, ...]] = {}
+        self.by_length: dict[int, list[str]] = {}
+        for w in counts:
+            if len(w) > SPELT - 4:
+                self.by_length.setdefault(len(w), []).append(w)
+        self._spelt: dict[str, np.ndarray | None] | None = None
 
     def cosine(self, a: str, b: str) -> float | None:
         x, y = self.vectors.get(a), self.vectors.get(b)
         return None if x is None or y is None else float(x @ y)
 
+    def _repairs(self, word: str) -> list[str]:
+        if len(word) <= SPELT:
+            return [w for w in glyph_repairs(word) if w in self.counts]
+        return [w for n in range(len(word) - 4, len(word) + 5) for w in self.by_length.get(n, ()) if is_glyph_repair(word, w)]
+
     def candidates(self, word: str) -> tuple[str, ...]:
-        """Frequent words of which ``word`` is a plausible misreading, the most frequent first."""
+        """Frequent words of which ``word`` is a plausible misreading by its glyphs and counts, the most frequent first."""
         if (known := self.links.get(word)) is not None:
             return known
         own = self.counts.get(word, 0)
         need = max(RATIO * max(own, 1), 2 * LEAST_COUNT)
         out = []
-        if (2 < len(word) or not word.isalpha()) and len(word) <= 40:
-            for w in glyph_repairs(word):
-                n = self.counts.get(w, 0)
+        if 2 < len(word) or not word.isalpha():
+            for w in self._repairs(word):
+                n = self.counts[w]
                 if n >= need and (own < LEAST_COUNT or not word.isalpha() or (self.cosine(word, w) or 0.0) >= SIMILAR):
                     out.append((n, w))
         if not out and not own and "-" in word:  # compounds: the parts one by one
@@ -201,14 +242,110 @@ class Lexicon:
         self.links[word] = out = tuple(w for _, w in sorted(out, reverse=True))
         return out
 
+    def spelt(self, word: str) -> np.ndarray | None:
+        """The vector of a word's letter sequences: each has the mean vector of the frequent words with it."""
+        if self._spelt is None:
+            sums: dict[str, np.ndarray] = {}
+            for w, v in self.vectors.items():
+                for g in _grams(w):
+                    sums[g] = sums[g] + v if g in sums else v.astype(np.float32)
+            self._spelt = {g: _unit(v) for g, v in sums.items()}
+        found = [v for g in _grams(word) if (v := self._spelt.get(g)) is not None]
+        return _unit(np.sum(found, axis=0)) if found else None
+
     def best(self, word: str, around: list[str]) -> str | None:
-        """The candidate that fits the neighbouring words best."""
-        found = self.candidates(word)
-        if len(found) < 2:
-            return found[0] if found else None
-        near = [v for w in around if (v := self.vectors.get(w)) is not None]
-        fit = lambda w: (sum(float(v @ self.vectors[w]) for v in near) if w in self.vectors else 0.0) / max(1, len(near)) + 0.05 * np.log(self.counts[w])
-        return max(found, key=fit)
+        """The word that ``word`` stands for between its neighbours: the candidate of the nearest vector, if one is near."""
+        found = [w for w in self.candidates(word) if w in self.vectors]
+        if not found:
+            return None
+        lent = [v for w in around if (v := self.context.get(w)) is not None]
+        parts = [_unit(np.sum(lent, axis=0))] if lent else []
+        if (v := self.spelt(word)) is not None:
+            parts.append(v)
+        if not parts:
+            return None
+        here = _unit(np.sum(parts, axis=0))
+        near = {w: fit for w in found if (fit := float(here @ self.vectors[w])) >= NEAR}
+        return max(near, key=lambda w: near[w] + 0.05 * np.log(self.counts[w])) if near else None
+
+    def parts(self) -> tuple:
+        """What is sent to the executors: names, counts and half-precision vectors."""
+        pack = lambda d: (list(d), np.array([*d.values()], dtype=np.float16))
+        return self.counts, pack(self.vectors), pack(self.context)
+
+    @classmethod
+    def of_parts(cls, counts: dict[str, int], vectors: tuple, context: tuple) -> Lexicon:
+        unpack = lambda p: dict(zip(p[0], p[1].astype(np.float32)))
+        return cls(counts, unpack(vectors), unpack(context))
+
+
+def _too_frequent(words: DataFrame, lexicon: dict[str, int], least: float) -> dict[str, int]:
+    """Words below the lexicon's share that have a frequent word's glyphs but more than its ``RATIO``-th part of its count: no misreadings.
+
+    Only words with more than 1 / RATIO of the least count can be, so there are at most RATIO / FREQUENT.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(shared.value, {})
+        for batch in batches:
+            keep = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if any(lex.counts[c] < RATIO * n for c in lex._repairs(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], ["a", "n"])
+
+    rare = words.where((F.col("n") < least) & (F.col("n") >= max(LEAST_COUNT, least / RATIO))).select("a", "n")
+    return {r["a"]: r["n"] for r in rare.mapInArrow(run, "a string, n bigint").toLocalIterator()}
+
+
+def _vectors(counts: DataFrame, lexicon: dict[str, int], contexts: list[str]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(vectors of words, vectors that context words lend), from the counted pairs.
+
+    Word rows stay on the executors; the driver gets the contexts' sums, their products with each
+    other (``CONTEXTS`` squared) and the finished vectors of ``DIMS`` numbers.
+    """
+    spark = counts.sparkSession
+    ctx = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(contexts)], "c string, i int"))
+    lex = F.broadcast(spark.createDataFrame([(w,) for w in lexicon], "w string"))  # at most 1 / FREQUENT words
+    both = counts.where("kind = 1")
+    both = both.select(F.col("a").alias("w"), F.col("b").alias("c"), "n").unionByName(both.select(F.col("b").alias("w"), F.col("a").alias("c"), "n"))
+    cells = both.join(ctx, "c").join(lex, "w").groupBy("w", "i").agg(F.sum("n").alias("n"))
+    rows = cut_lineage(cells.groupBy("w").agg(F.collect_list(F.struct("i", "n")).alias("cells")).repartition(16))  # at most CONTEXTS cells a word
+    sums = {r["i"]: r["n"] for r in rows.select(F.inline("cells")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    share = np.array([sums.get(i, 0) for i in range(len(contexts))], dtype=np.float64) ** 0.75  # smoothed by the usual power
+    share /= max(1e-9, share.sum())
+
+    def information(cells: pa.Array) -> np.ndarray:
+        """Positive pointwise mutual information, a row a word."""
+        m = np.zeros((len(cells), len(contexts)), dtype=np.float64)
+        flat = cells.flatten()
+        at = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+        m[at, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+        m /= np.maximum(m.sum(axis=1, keepdims=True), 1) * np.maximum(share, 1e-12)
+        np.log(m, out=m, where=m > 0)
+        return np.maximum(m, 0)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(contexts), len(contexts)))
+        for b in batches:
+            m = information(b.column(0))
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    gram = np.zeros((len(contexts), len(contexts)))
+    for r in rows.select("cells").mapInArrow(products, "m binary").toLocalIterator():  # one a task, 16 tasks
+        gram += np.frombuffer(bytes(r["m"])).reshape(gram.shape)
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :DIMS]
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = information(b.column(1)) @ axes
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["w", "v"])
+
+    made = rows.select("w", "cells").mapInArrow(reduce, "w string, v binary")
+    vectors = {r["w"]: np.frombuffer(bytes(r["v"]), dtype=np.float16).astype(np.float32) for r in made.toLocalIterator()}
+    # A neighbour seen once has this much information, which is what a word of one occurrence would be made of.
+    weight = -np.log(np.maximum(share, 1e-12))
+    return vectors, {w: (weight[i] * axes[i]).astype(np.float32) for i, w in enumerate(contexts)}
 
 
 def learn(texts: DataFrame) -> Lexicon:
@@ -218,29 +355,11 @@ def learn(texts: DataFrame) -> Lexicon:
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, FREQUENT * total)
     lexicon = {r["a"]: r["n"] for r in words.where(F.col("n") >= least).select("a", "n").toLocalIterator()}  # at most 1 / FREQUENT words
-    contexts = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:CONTEXTS]]
     if not lexicon:
         return Lexicon({}, {})
-    spark = texts.sparkSession
-    ctx = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(contexts)], "c string, i int"))
-    lex = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(lexicon)], "w string, k int"))
-    both = counts.where("kind = 1")
-    both = both.select(F.col("a").alias("w"), F.col("b").alias("c"), "n").unionByName(both.select(F.col("b").alias("w"), F.col("a").alias("c"), "n"))
-    cells = both.join(ctx, "c").join(lex, "w").groupBy("k", "i").agg(F.sum("n").alias("n"))
-    rows = cells.toPandas()
-    m = np.zeros((len(lexicon), len(contexts)), dtype=np.float32)
-    m[rows["k"], rows["i"]] = rows["n"]
-    grand = max(1.0, float(m.sum()))
-    # Context shares smoothed by the usual power, then positive pointwise mutual information.
-    share = m.sum(axis=0) ** 0.75
-    share /= max(1e-9, share.sum())
-    m *= grand / np.maximum(m.sum(axis=1, keepdims=True), 1) / np.maximum(share * grand, 1e-9)
-    np.log(m, out=m, where=m > 0)
-    np.maximum(m, 0, out=m)
-    _, axes = np.linalg.eigh(m.T @ m)
-    v = m @ axes[:, ::-1][:, :DIMS]
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return Lexicon(lexicon, dict(zip(lexicon, v.astype(np.float32))))
+    contexts = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:CONTEXTS]]
+    vectors, context = _vectors(counts, lexicon, contexts)
+    return Lexicon(lexicon | _too_frequent(words, lexicon, least), vectors, context)
 
 
 # ---- repairing ------------------------------------------------------------------------------
@@ -280,7 +399,7 @@ class Page:
         bare: list[int] = []
         for i, line in enumerate(self.lines):
             bare_line = line.strip()
-            if not bare_line or len(bare_line) > 100 or bare_line[0] not in _MAY_BE_FURNITURE and len(bare_line) > 12 and not _LATIN_START.match(bare_line):
+            if not bare_line or bare_line[0] not in _MAY_BE_FURNITURE and len(bare_line) > 12 and not _LATIN_START.match(bare_line):
                 continue
             m = _FURNITURE.match(line)
             if not m:
@@ -350,16 +469,17 @@ class Page:
                 if not m or self.lines[j].lstrip()[:1].isdigit():
                     continue
                 b = m[1]
-                if j < i + 7:  # farther lines are not doubted for want of the other half
+                if j <= i + DOUBTED:
                     passed.add(j)
                 solid, dashed = counts.get((a + b).lower(), 0), counts.get(f"{a}-{b}".lower(), 0)
                 if solid or dashed:
                     out.append((i, j, a, b, a + b if solid >= dashed or end[-1] != "-" and solid else f"{a}-{b}"))
                     fallback = None
                     break
-                if (fixed := self.lex.candidates((a + b).lower())) and b[:1].islower():
+                if b[:1].islower() and self.lex.best((a + b).lower(), self._around(i, j)):
                     out.append((i, j, a, b, a + b))
-                    self.noise.add("ocr") if fixed and not self._clean(a + b) else None
+                    if not self._clean(a + b):
+                        self.noise.add("ocr")
                     fallback = None
                     break
                 if fallback is None and b[:1].islower():
@@ -372,6 +492,10 @@ class Page:
                 out.append((i, j, a, b, f"{a}-{b}" if whole and end[-1] == "-" else a + b))
         return out
 
+    def _around(self, i: int, j: int) -> list[str]:
+        """The words before the first half of a cut word and after the other."""
+        return [_EDGE.sub("", w).lower() for w in self.lines[i].split()[-3:-1] + self.lines[j].split()[1:3]]
+
     def _clean(self, word: str) -> bool:
         return word.lower() in self.lex.counts
 
@@ -442,7 +566,7 @@ def repair(text: str, doc: str | None, page: int | None, lex: Lexicon, sound: se
                         p.noise.add("ocr")
                         fixes[t] = t.replace(bare, re.sub(r"(?<![A-Za-z])[A-Za-z]{0,3}(?=\d)|.", lambda m: m[0] if len(m[0]) > 1 else m[0].translate(DIGITS), bare)) if not bare[0].isalpha() or bare[0] in "lIOo" else t
                         continue
-                    around = [_EDGE.sub("", w).lower() for w in words[max(0, k - 3) : k] + words[k + 1 : k + 4]]
+                    around = [_EDGE.sub("", w).lower() for w in words[max(0, k - 2) : k] + words[k + 1 : k + 3]]
                     best = lex.best(bare.lower(), around)
                     if best:
                         p.noise.add("ocr")
@@ -455,7 +579,7 @@ def repair(text: str, doc: str | None, page: int | None, lex: Lexicon, sound: se
         if lines[i] is None or lines[j] is None:
             continue
         head = lines[i].rstrip(HYPHENS + " ")
-        best = whole if p._clean(whole) else (lex.candidates(whole.lower()) or (whole,))[0]
+        best = whole if p._clean(whole) else lex.best(whole.lower(), p._around(i, j)) or whole
         lines[i] = head[: len(head) - len(a)] + best if head.endswith(a) else head + b
         rest = lines[j].lstrip()
         lines[j] = rest[len(b) :].lstrip() if rest.startswith(b) else rest
@@ -478,10 +602,10 @@ def repair(text: str, doc: str | None, page: int | None, lex: Lexicon, sound: se
 
 
 def _apply(df: DataFrame, lex: Lexicon, rewrite: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((lex.counts, lex.vectors))  # bounded, see Lexicon
+    shared = df.sparkSession.sparkContext.broadcast(lex.parts())  # bounded, see Lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sound = Lexicon(*shared.value), set()
+        own, sound = Lexicon.of_parts(*shared.value), set()
         for batch in batches:
             ids, kinds, texts = [], [], []
             for cid, doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(4))):

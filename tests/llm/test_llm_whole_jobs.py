@@ -40,3 +40,35 @@ def test_context_chooses_among_all_candidates(monkeypatch):
     lex = scan_noise.Lexicon(counts, {w: axis[int(w == "send")] for w in words} | {"letter": axis[1]})
     assert lex.candidates("sexx")[0] == "seal"
     assert lex.best("sexx", ["letter"]) == "send"
+
+
+def test_vectors_decide_which_words_are_misread(spark):
+    """Without vectors at least a third of the misread words go unfound, and nothing else changes."""
+    import os
+
+    at = "/root/testdata/sf0.01/chunks.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(at).select("id", "doc", "page", "text")
+    lex = scan_noise.learn(df)
+    kinds = lambda x: {r["v"]: r["count"] for r in scan_noise._apply(df.where("text is not null"), x, False).groupBy("v").count().collect()}
+    whole, bare = kinds(lex), kinds(scan_noise.Lexicon(lex.counts, {}))
+    assert whole["ocr"] > 100 and bare.get("ocr", 0) < 2 / 3 * whole["ocr"]
+    assert {k: v for k, v in whole.items() if k in ("header", "page_number")} == {k: v for k, v in bare.items() if k in ("header", "page_number")}
+
+
+def test_glyph_repairs_of_any_length():
+    """The matcher of long words agrees with writing out all repairs; a word of thousands of letters ends."""
+    for seen, meant in (("hydrau1ic", "hydraulic"), ("rnodule", "module"), ("tbe", "the"), ("seal", "seal"), ("cleve1oprnent", "development"), ("bearlng", "bearing"), ("xyz", "abc")):
+        assert scan_noise.is_glyph_repair(seen, meant) == (meant in scan_noise.glyph_repairs(seen) and seen != meant)
+    long = "hydraulic" * 400
+    lex = scan_noise.Lexicon({long: 900}, {})
+    assert lex.candidates(long[:-1] + "e") == (long,) and lex.candidates("x" * 5000) == ()
+
+
+def test_frequent_words_are_no_misreadings(spark, monkeypatch):
+    """A word below the lexicon's share keeps its true count, so it is no misreading of one that is not much more frequent."""
+    monkeypatch.setattr(scan_noise, "FREQUENT", 0.02)
+    rows = [(i, None, None, "the seal of the pump is new") for i in range(60)] + [(100 + i, None, None, "the seai of the pump is new") for i in range(6)] + [(200, None, None, "the pomp of the seal is new")]
+    lex = scan_noise.learn(spark.createDataFrame(rows, "id bigint, doc string, page int, text string"))
+    assert lex.counts["seal"] == 61 and lex.counts["seai"] == 6 and lex.candidates("seai") == ()
