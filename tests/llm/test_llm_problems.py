@@ -329,9 +329,33 @@ def test_label_model_learns_accuracies():
         p = tuple(rng.choices([1, 0, -1], [0.7, 0.1, 0.2] if y == (rng.random() < acc) else [0.02, 0.78, 0.2])[0] for acc in (0.95, 0.9, 0.55))
         patterns[p] = patterns.get(p, 0) + 1
         truth.setdefault(p, []).append(y)
-    post = answer_defects.label_model(patterns)
-    right = sum(sum(y == (post[p] >= 0.5) for y in ys) for p, ys in truth.items()) / 4000
-    assert right > 0.9 and answer_defects.label_model({}) == {}
+    model = answer_defects.LabelModel(patterns)
+    right = sum(sum(y == (model.posterior(p) >= 0.5) for y in ys) for p, ys in truth.items()) / 4000
+    plain = sum(sum(y == answer_defects.majority(p) for y in ys) for p, ys in truth.items()) / 4000
+    assert right > 0.9 and right >= plain
+
+
+def test_label_model_beats_the_majority_on_planted_answers(spark):
+    """On the project's answers: of planted defects and sound copies the model tells more apart than a majority of the votes."""
+    at = "/root/testdata/sf0.1"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    voted = answer_defects.votes(spark.read.parquet(f"{at}/gate_scores_v3_14b.parquet"), spark.read.parquet(f"{at}/golden_generated.parquet")).collect()
+    kind = lambda r: r["id"].split(answer_defects.PLANT)[1] if r["id"].startswith(answer_defects.PLANT) else None
+    caught = {"model": 0, "majority": 0}
+    for d in answer_defects.DEFECTS:
+        counts = {}
+        for r in voted:
+            if kind(r) is None:
+                counts[tuple(r[d])] = counts.get(tuple(r[d]), 0) + 1
+        model = answer_defects.LabelModel(counts, answer_defects.SILENCE[d])
+        planted = [tuple(r[d]) for r in voted if kind(r) == d]
+        sound = [tuple(r[d]) for r in voted if kind(r) == "sound"]
+        cut = answer_defects.best_cutoff([model.posterior(p) for p in planted], [model.posterior(p) for p in sound])
+        for name, says in (("model", lambda p: model.posterior(p) >= cut), ("majority", answer_defects.majority)):  # noqa: B023
+            hit, false = sum(map(says, planted)), sum(map(says, sound))
+            caught[name] += 2 * hit / (hit + false + len(planted))
+    assert caught["model"] > caught["majority"] and caught["model"] > 4.7
 
 
 # ---- 7 ----------------------------------------------------------------------------------------
