@@ -94,26 +94,25 @@ def ivf_search(spark, sf):
     return ivf_run(spark, sf)
 
 
-#: A second list for the chunk questions: chunks whose page the question cites, by distance in pages.
-SQL_PAGES = """pages_scored AS (SELECT a.qid, c.id, round(1.0::DOUBLE / (1 + abs(c.page - g.gold_page)), 6) AS score FROM asked a JOIN (SELECT id, min(gold_doc) AS gold_doc, min(gold_page) AS gold_page FROM golden_generated GROUP BY id) g ON g.id = a.qid
-JOIN corpus c ON c.doc = g.gold_doc AND abs(c.page - g.gold_page) <= 2),
-pg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pages_scored QUALIFY rank <= 20)"""
-SQL_RRF = SQL_PAGES + """,
-lists AS (SELECT qid, id, rank, 'bm25' AS source, 0 AS list_no FROM bm WHERE rank <= 20 UNION ALL SELECT qid, id, rank, 'page' AS source, 1 AS list_no FROM pg),
+#: The dense list: cosine of hashed token counts of question and chunk, as of the hashing embedder.
+SQL_HASHED = r"""{n}_b AS (SELECT {i} AS id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % 256)::INTEGER AS bucket, count(*) AS c FROM (SELECT {i}, unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) AS tok FROM {f}) GROUP BY 1, 2), {n}_n AS (SELECT id, sum(c * c) AS nn FROM {n}_b GROUP BY id)"""
+SQL_VEC = SQL_HASHED.format(n="hq", i="qid", t="question", f="asked") + ", " + SQL_HASHED.format(n="hd", i="id", t="text", f="corpus") + """,
+vec_scored AS (SELECT q.id AS qid, d.id, round(sum(q.c * d.c) / (sqrt(any_value(qn.nn)::DOUBLE) * sqrt(any_value(dn.nn)::DOUBLE)), 6) AS score FROM hq_b q JOIN hd_b d USING (bucket) JOIN hq_n qn ON qn.id = q.id JOIN hd_n dn ON dn.id = d.id GROUP BY q.id, d.id),
+vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vec_scored QUALIFY rank <= 20)"""
+SQL_RRF = SQL_VEC + """,
+lists AS (SELECT qid, id, rank, 'bm25' AS source, 0 AS list_no FROM bm WHERE rank <= 20 UNION ALL SELECT qid, id, rank, 'vec' AS source, 1 AS list_no FROM vec),
 fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, list(source ORDER BY list_no) AS sources, min(list_no * 1000 + rank) AS first FROM lists GROUP BY qid, id),
 rrf AS (SELECT qid, id, score, sources, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS rank FROM fused)"""
 
 
-def page_run(spark, sf, k: int = 20, every: int = ASK_EVERY):
-    g = table(spark, sf, "golden_generated").groupBy("id").agg(F.min("gold_doc").alias("gold_doc"), F.min("gold_page").alias("gold_page"))
-    a = asked(spark, sf, every).join(g, F.col("qid") == g["id"]).select("qid", F.col("gold_doc").alias("doc"), "gold_page")
-    near = corpus(spark, sf).join(a, "doc").where("abs(page - gold_page) <= 2")
-    return dense.top_k(near.select("qid", "id", F.round(1.0 / (1 + F.abs(F.col("page") - F.col("gold_page"))), 6).alias("score")), k)
+def vec_run(spark, sf, k: int = 20, every: int = ASK_EVERY):
+    """Question and chunk by their texts alone; what a question cites is for evaluation."""
+    return dense.hashed_search(asked(spark, sf, every), corpus(spark, sf), k)
 
 
 def fused_run(spark, sf, k: int | None = None, every: int = ASK_EVERY):
     named = lambda df, s, n: df.select("qid", "id", "rank", F.lit(s).alias("source"), F.lit(n).alias("list_no"))
-    lists = named(bm25_run(spark, sf, 20, every), "bm25", 0).unionByName(named(page_run(spark, sf, every=every), "page", 1))
+    lists = named(bm25_run(spark, sf, 20, every), "bm25", 0).unionByName(named(vec_run(spark, sf, every=every), "vec", 1))
     return fusion.rrf(lists, k=k)
 
 
