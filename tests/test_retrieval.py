@@ -85,3 +85,23 @@ def test_auc_against_pairs(spark):
         p, n = [s for k, s, y in rows if k == g and y], [s for k, s, y in rows if k == g and not y]
         assert got[g] == round(sum((x > y) + 0.5 * (x == y) for x in p for y in n) / (len(p) * len(n)), 6)
     assert got["c"] is None
+
+
+def test_stored_index(spark, tmp_path):
+    """A stored index gives the same hits as one built on the way; a subset has frequencies of its own."""
+    from plumbline.operators import lexical
+    from plumbline.sources import writers
+
+    words = ["oil", "pump", "valve", "seal", "axle", "drum"]
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 5))) for i in range(60)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    q = spark.createDataFrame([("a", "oil"), ("a", "seal"), ("a", "seal"), ("b", "drum"), ("c", "nowhere")], "qid string, term string")
+    weights = lexical.term_weights(lexical.postings(df, "id", tokens), lexical.corpus_totals(df, tokens))
+    writers.write_index(weights, str(tmp_path / "index"), 4)
+    hits = lambda run: sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in run.collect())
+    assert hits(lexical.search_stored(q, str(tmp_path / "index"), 5)) == hits(lexical.search(q, weights, 5)) != []
+    part = df.where("id < 20")
+    own = lexical.term_weights(lexical.subset_postings(lexical.postings(df, "id", tokens), part), lexical.corpus_totals(part, tokens))
+    alone = lexical.term_weights(lexical.postings(part, "id", tokens), lexical.corpus_totals(part, tokens))
+    assert hits(lexical.search(q, own, 5)) == hits(lexical.search(q, alone, 5))
