@@ -11,11 +11,14 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import FENCE_TAG, GUARD_PATTERNS
+from plumbline.functions.text import FENCE_TAG, GUARD_PATTERNS, percent_score
+from plumbline.operators.conformal import mondrian, thresholds
+from plumbline.operators.dense import top_k
+from plumbline.operators.scores import agreement
 
 
 class Model(Protocol):
@@ -72,6 +75,70 @@ def answer(prompts: DataFrame, model: Model, system: str, threshold: float) -> D
     return no_hits.unionByName(held).unionByName(done)
 
 
+#: Instructions of the model-backed scores; own words.
+SUPPORT = "How well can the question be answered from the excerpts alone? Reply with one whole number from 0 to 100."
+SUPPORT_STRICT = "Is everything the question asks for stated in the excerpts? Partly or nearby counts little. Reply with one whole number from 0 to 100."
+GROUNDED = "What percentage of the answer's claims do the excerpts state? Reply with one whole number from 0 to 100."
+
+
+def model_score(df: DataFrame, model: Model, prompt: Column, system: str, out: str) -> DataFrame:
+    """Adds ``out``, the first whole number of the model's reply held to 0-100 and divided by 100; 0.0 without one or without prompt."""
+    asked = complete_all(df.withColumn("__prompt", prompt), model, system, "__prompt", "__reply")
+    return asked.withColumn(out, F.coalesce(percent_score(F.col("__reply")), F.lit(0.0))).drop("__prompt", "__reply")
+
+
+def support(hits: DataFrame, model: Model, system: str = SUPPORT, out: str = "support") -> DataFrame:
+    """Rows (question, excerpts, ...) with how far the excerpts support an answer; null or empty excerpts (no hits) score 0.0 and are not asked."""
+    some = F.coalesce(F.trim("excerpts"), F.lit("")) != ""
+    return model_score(hits, model, F.when(some, F.concat(F.lit("Question: "), "question", F.lit("\n\nExcerpts:\n\n"), "excerpts", F.lit("\n\nScore:"))), system, out)
+
+
+def groundedness(answers: DataFrame, model: Model, out: str = "groundedness") -> DataFrame:
+    """Rows (answer, excerpts, ...) with the share of the answer that the excerpts state; blank answers and no hits score 0.0."""
+    some = (F.coalesce(F.trim("excerpts"), F.lit("")) != "") & (F.coalesce(F.trim("answer"), F.lit("")) != "")
+    return model_score(answers, model, F.when(some, F.concat(F.lit("Excerpts:\n\n"), "excerpts", F.lit("\n\nAnswer to check:\n"), "answer", F.lit("\n\nScore:"))), GROUNDED, out)
+
+
+def self_consistency(prompts: DataFrame, model: Model, system: str, key: str = "qid", samples: int = 3) -> DataFrame:
+    """(key, agreement) of so many replies to each row's prompt; the model is asked once a sample, so it must not be deterministic."""
+    each = prompts.select(key, "prompt", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    return agreement(complete_all(each, model, system, "prompt"), key, "sample", "reply")
+
+
+class PairScorer(Protocol):
+    """Scores (question, text) pairs, the higher the nearer. Instances are pickled to the executors."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def rerank_pairs(hits: DataFrame, scorer: PairScorer, k: int) -> DataFrame:
+    """(qid, id, score, rank): hits (qid, question, id, text) by the scorer, which replaces their scores; ties go to the smaller id. Null texts count as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["score"] = [float(x) for x in scorer.score([(q or "", t or "") for q, t in zip(b["question"], b["text"])])]
+            yield b[["qid", "id", "score"]]
+
+    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("qid", "id")}
+    return top_k(hits.select("qid", "question", "id", "text").mapInPandas(run, f"qid {kinds['qid']}, id {kinds['id']}, score double"), k)
+
+
+#: Fewer records calibrate no gate.
+FEWEST_RECORDS = 20
+
+
+def calibrate_gate(records: DataFrame, alpha: float, group: str | None = None) -> dict:
+    """A gate {alpha, thresholds by group} from (score, loss[, group]); refuses fewer than ``FEWEST_RECORDS`` rows."""
+    rows = records.where("score is not null and loss is not null")
+    n = rows.count()
+    if n < FEWEST_RECORDS:
+        raise ValueError(f"{n} records are too few to calibrate on; {FEWEST_RECORDS} are needed")
+    levels = records.sparkSession.createDataFrame([(float(alpha),)], "alpha double")
+    rows = rows.withColumn("__g", F.col(group) if group else F.lit("_global"))
+    fitted = mondrian(rows, levels, "__g") if group else thresholds(rows, levels, []).withColumn("grp", F.lit("_global"))
+    return {"alpha": alpha, "thresholds": {r["grp"]: r["threshold"] for r in fitted.collect()}, "records": n}  # one row a group
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows not yet in a partial output, for runs taken up again."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

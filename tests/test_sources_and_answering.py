@@ -194,3 +194,34 @@ def test_ingest_by_uri(spark, tmp_path):
     assert stored() == want
     run(rows(("a", 1, 0, "x")), 2)  # nothing new
     assert stored() == want and ingest.stored_batches(spark, out) == {0: 2, 1: 3, 2: 3}
+
+
+def test_model_scores_and_reranking(spark):
+    class Echo:
+        """Replies with a number that stands in the prompt."""
+
+        def complete(self, system, user):
+            return "none" if "mute" in user else "score 250" if "much" in user else "40"
+
+    class Overlap:
+        def score(self, pairs):
+            return [len(set(q.split()) & set(t.split())) for q, t in pairs]
+
+    rows = [("a", "q", "text", "x"), ("b", "mute", "text", "x"), ("c", "much", "text", "x"), ("d", "q", None, "x"), ("e", "q", " ", "x"), ("f", "q", "text", " ")]
+    df = spark.createDataFrame(rows, "qid string, question string, excerpts string, answer string")
+    assert {r["qid"]: r["support"] for r in answering.support(df, Echo()).collect()} == {"a": 0.4, "b": 0.0, "c": 1.0, "d": 0.0, "e": 0.0, "f": 0.4}
+    assert {r["qid"]: r["groundedness"] for r in answering.groundedness(df, Echo()).collect()} == {"a": 0.4, "b": 0.4, "c": 0.4, "d": 0.0, "e": 0.0, "f": 0.0}
+    same = answering.self_consistency(spark.createDataFrame([("a", "oil?")], "qid string, prompt string"), answering.StubModel(default="drain plug"), "s")
+    assert [tuple(r) for r in same.collect()] == [("a", 1.0)]
+    hits = spark.createDataFrame([("a", "oil pump", 1, "pump"), ("a", "oil pump", 2, "oil pump"), ("a", "oil pump", 3, None), ("a", "oil pump", 0, "oil")], "qid string, question string, id int, text string")
+    assert [(r["id"], r["score"], r["rank"]) for r in answering.rerank_pairs(hits, Overlap(), 2).orderBy("rank").collect()] == [(2, 2.0, 1), (0, 1.0, 2)]
+
+
+def test_calibrate_gate(spark):
+    rows = [(i / 40, float(i < 10), "g") for i in range(40)]
+    df = spark.createDataFrame(rows, "score double, loss double, grp string")
+    gate = answering.calibrate_gate(df, 0.3)
+    assert set(gate["thresholds"]) == {"_global"} and 0 <= gate["thresholds"]["_global"] <= 1 and gate["records"] == 40
+    assert set(answering.calibrate_gate(df, 0.3, "grp")["thresholds"]) == {"_global", "g"}
+    with pytest.raises(ValueError, match="too few"):
+        answering.calibrate_gate(df.limit(19), 0.3)
