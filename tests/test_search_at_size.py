@@ -29,7 +29,7 @@ def shuffled(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion",
+    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion", "confidence",
 ])
 def test_no_pairs_are_shuffled(name, spark, folder):
     before = shuffled(spark)
