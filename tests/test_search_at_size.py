@@ -29,7 +29,7 @@ def shuffled(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion", "confidence", "page_slack_rank",
+    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion", "confidence", "page_slack_rank", "confidence_by_answerable",
 ])
 def test_no_pairs_are_shuffled(name, spark, folder):
     before = shuffled(spark)
