@@ -29,7 +29,7 @@ def shuffled(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion", "confidence", "page_slack_rank", "confidence_by_answerable", "prompt_render", "run_diff", "hybrid_retrieve", "recall_found_only",
+    "bm25_fts5_topk", "bm25_lucene_topk", "rrf_fusion", "confidence", "page_slack_rank", "confidence_by_answerable", "prompt_render", "run_diff", "hybrid_retrieve", "recall_found_only", "top_source_counts",
 ])
 def test_no_pairs_are_shuffled(name, spark, folder):
     before = shuffled(spark)
